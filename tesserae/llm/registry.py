@@ -6,6 +6,8 @@ import importlib
 
 #: Query name -> module and function of it; modules load when their query is asked for.
 NAMES = {
+    "op2_host_rules": ("host_rules", "op2"),
+    "op4_substring_dedup": ("substring_dedup", "op4"),
     "op8_ngram_jaccard_join": ("ngram_join", "op8"),
 }
 
