@@ -6,15 +6,23 @@ import importlib
 
 #: Query name -> module and function of it; modules load when their query is asked for.
 NAMES = {
-    "op2_host_rules": ("host_rules", "op2"),
-    "op4_substring_dedup": ("substring_dedup", "op4"),
-    "op8_ngram_jaccard_join": ("ngram_join", "op8"),
+    "op1_chat_snapshots": ("tesserae.llm.chat", "op1"),
+    "op2_host_rules": ("tesserae.llm.host_rules", "op2"),
+    "op3_byte_bpe": ("tesserae.llm.byte_bpe", "op3"),
+    "op4_substring_dedup": ("tesserae.llm.substring_dedup", "op4"),
+    "op5_warc_round_trip": ("tesserae.llm.warc", "op5"),
+    "op6_quality_classifier": ("tesserae.llm.quality", "op6"),
+    "op7_packing": ("tesserae.llm.packing", "op7"),
+    "op8_ngram_jaccard_join": ("tesserae.llm.ngram_join", "op8"),
+    "op9_order_minhash": ("tesserae.llm.order_minhash", "op9"),
+    "op10_toxicity": ("tesserae.llm.toxicity", "op10"),
+    "pipeline": ("corpus_pipeline", "run"),
 }
 
 
 def _lazy(module: str, name: str):
     def run(spark, sf_dir: str):
-        return getattr(importlib.import_module(f"{__package__}.{module}"), name)(spark, sf_dir)
+        return getattr(importlib.import_module(module), name)(spark, sf_dir)
 
     return run
 
@@ -24,6 +32,8 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
+    from corpus_pipeline import ORACLE_SQL
+
     from .sql import ORACLES
 
-    return dict(ORACLES)
+    return {**ORACLES, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}

@@ -1,3 +1,62 @@
 """DuckDB equivalents of the subpackage's queries, where SQL can express them on whole tables."""
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op1_chat_snapshots": """
+WITH t AS (
+  SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), c AS (
+  SELECT conv_id, list({'t': turn, 'r': role, 'x': text} ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id
+), kept AS (
+  SELECT conv_id, len(l) AS n_turns FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c AS d WHERE d.l[1].x = c.l[1].x
+      AND ((len(d.l) > len(c.l) AND d.l[1:len(c.l)] = c.l) OR (d.l = c.l AND d.conv_id < c.conv_id)))
+)
+SELECT conv_id, turn, n_turns, concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)) AS rendered
+FROM t JOIN kept USING (conv_id)
+""",
+    "op2_host_rules": f"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents
+), g AS (
+  SELECT r, i, w[i:i+2] AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)
+), twice AS (
+  SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + d) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS d) GROUP BY r
+), lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r
+), m AS (
+  SELECT w.r, doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN lines ON lines.r = w.r LEFT JOIN covered ON covered.r = w.r
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+), h AS (
+  SELECT source, count(*) AS n, sum(base_failed::INT) AS failed FROM f GROUP BY source
+), p AS (
+  SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM h
+), s AS (
+  SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1) ELSE 1 END AS k FROM p
+), bad AS (
+  SELECT source, (failed + m * k) / (n + k) > 0.5 AS bad FROM h, s
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source
+""",
+    "op5_warc_round_trip": """
+SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, b32 AS payload_digest,
+  CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = lead THEN NULL ELSE lead END AS refers_to
+FROM (
+  SELECT page_id, html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS lead, sha1(coalesce(html, '')) AS hex,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (('0x' || substr(sha1(coalesce(html, '')) || '00', ((i * 5) // 8) * 2 + 1, 4))::INT >> (11 - (i * 5) % 8) & 31) + 1, 1)), '') AS b32
+  FROM pages
+)
+""",
+}
