@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 10).
 
 Confirmed toxic documents are the positives; the other text is unlabelled, not negative. Linear
-classifiers over the set of a document's words minimise
+classifiers over the set of a document's words and their beginnings minimise
 
     p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)),
 
@@ -23,8 +23,11 @@ from .labelled import held_out, share, training_labels
 
 #: Documents that training uses at most, chosen by a hash of their ids, and the parts they form.
 MAX_POSITIVE, MAX_UNLABELLED, PARTS = 12_000, 24_000, 4
-#: log2 of the hashed words; a word is used from this share of the positives (5 at least).
-HASH_BITS, MIN_SHARE = 20, 0.004
+#: log2 of the hashed features; a feature is used if it is so many times as frequent among positives
+#: as among the unlabelled, by so many standard deviations.
+HASH_BITS, MIN_LIFT, MIN_SIGMAS = 20, 2.0, 4.0
+#: Bytes of the beginnings that are features too.
+BEGINNINGS = (4, 5)
 STEPS, RATE, DECAY = 250, 0.05, 2e-4
 #: Bounds of the class prior; the prior where no label tells it.
 PRIOR = (0.01, 0.5, 0.1)
@@ -34,14 +37,19 @@ _TO_SPACE = bytes(32 if chr(b) in ".,;:!?\"'()[]{}*#|-_/\\<>" else b for b in ra
 _HASHES = WordHashes()
 
 
-def words_of(text: bytes) -> set[bytes]:
-    """Distinct words of a whole text, lower case, cut at punctuation."""
-    return set(text.translate(_TO_SPACE).lower().split())
+def features_of(text: bytes) -> set[bytes]:
+    """Distinct words of a whole text, lower case, cut at punctuation, and the beginnings of longer
+    ones, by which inflected and compound forms meet."""
+    words = set(text.translate(_TO_SPACE).lower().split())
+    out = set(words)
+    for n in BEGINNINGS:
+        out.update([b"^" + w[:n] for w in words if len(w) > n])
+    return out
 
 
 def _hashed(batches):
     for label, part, texts in steps(batches):
-        rows = [np.unique(_HASHES.array(list(words_of(t))) & np.uint64(_MASK)).astype(np.uint32).tobytes() for t in texts]
+        rows = [np.unique(_HASHES.array(list(features_of(t))) & np.uint64(_MASK)).astype(np.uint32).tobytes() for t in texts]
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(part, pa.int32()), pa.array(rows, pa.binary())], names=["label", "part", "words"])
 
 
@@ -50,8 +58,12 @@ def fit(words: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np
     n_pos = int(positive.sum())
     flat = np.concatenate([*words, np.empty(0, np.uint32)])
     doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    n_unl = len(words) - n_pos
     seen = np.bincount(flat[positive[doc]], minlength=1 << HASH_BITS)
-    used = np.flatnonzero(seen >= max(5, MIN_SHARE * n_pos))
+    in_pos = seen / max(n_pos, 1)
+    in_unl = (np.bincount(flat[~positive[doc]], minlength=1 << HASH_BITS) + 0.5) / (n_unl + 1)
+    spread = np.sqrt(in_unl * (1 / max(n_pos, 1) + 1 / max(n_unl, 1)))
+    used = np.flatnonzero((seen >= 3) & (in_pos >= MIN_LIFT * in_unl) & (in_pos - in_unl >= MIN_SIGMAS * spread))
     bias = float(np.log(prior / (1 - prior)))
     if not len(used) or n_pos == len(words):
         return used[:0], np.zeros(0), bias
@@ -63,7 +75,6 @@ def fit(words: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np
     centre = np.bincount(col, minlength=len(used)) / len(words)
     w, b = np.zeros(len(used)), bias
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    n_unl = len(words) - n_pos
     for t in range(1, STEPS + 1):
         z = np.bincount(doc, weights=w[col], minlength=len(words)) - centre @ w + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -104,7 +115,7 @@ def _score(weights: dict[int, float], bias: float):
     def run(batches):
         get = Weights(known).__getitem__
         for ids, texts in steps(batches):
-            z = np.array([math.fsum(map(get, words_of(t))) for t in texts], np.float64) + bias
+            z = np.array([math.fsum(map(get, features_of(t))) for t in texts], np.float64) + bias
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
 
     return run
