@@ -59,13 +59,14 @@ def fit(words: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np
     flat = np.concatenate([*words, np.empty(0, np.uint32)])
     doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
     n_unl = len(words) - n_pos
+    prior = min(max(prior, PRIOR[0]), PRIOR[1])
     seen = np.bincount(flat[positive[doc]], minlength=1 << HASH_BITS)
     in_pos = seen / max(n_pos, 1)
     in_unl = (np.bincount(flat[~positive[doc]], minlength=1 << HASH_BITS) + 0.5) / (n_unl + 1)
     spread = np.sqrt(in_unl * (1 / max(n_pos, 1) + 1 / max(n_unl, 1)))
     used = np.flatnonzero((seen >= 3) & (in_pos >= MIN_LIFT * in_unl) & (in_pos - in_unl >= MIN_SIGMAS * spread))
     bias = float(np.log(prior / (1 - prior)))
-    if not len(used) or n_pos == len(words):
+    if not len(used) or not n_unl:
         return used[:0], np.zeros(0), bias
     place = np.full(1 << HASH_BITS, -1, np.int64)
     place[used] = np.arange(len(used))
