@@ -1,8 +1,8 @@
 """BM25 scoring, passage maxima, reciprocal-rank fusion, coverage search and direct references.
 
 Questions are a DataFrame (qid, ...), so many are answered in one plan. Ties go to the smaller id.
-Lists hold only items that pass the filter and score above 0; fill=True also ranks the rest of the
-filtered-out and zero-score items last, up to the depth, as a dense ranking would.
+Lists hold only items that pass the filter and score above 0. With dense_fill() and fuse(fill=True)
+zero scores and items that fail the filter are ranked last, up to the depth, as a dense ranking would.
 """
 
 from __future__ import annotations
@@ -64,10 +64,14 @@ def filtered(scores: DataFrame, items: DataFrame, filters: DataFrame) -> DataFra
     return scores.join(items.select("id", "instance", "year"), "id").join(f, "qid").where(passes | ~F.col("alive")).select(scores.columns)
 
 
-def fuse(lists: list[DataFrame], weights: list[float] | None = None, depth: int = DEPTH, direct: DataFrame | None = None) -> DataFrame:
-    """(qid, id, fused): the sum of weight / (60 + rank) over the lists, plus 1 for named items."""
+def fuse(lists: list[DataFrame], weights: list[float] | None = None, depth: int = DEPTH, direct: DataFrame | None = None, fill: bool = False) -> DataFrame:
+    """(qid, id, fused): the sum of weight / (60 + rank) over the lists, plus 1 for named items.
+
+    fill: a list counts whole for each question for which anything in it scores above 0.
+    """
+    scored = lambda x: x.join(x.where("score > 0").select("qid").distinct(), "qid", "left_semi") if fill else x.where("score > 0")
     parts = [
-        rank(scores.where("score > 0"), depth).select("qid", "id", (F.lit(w) / (OFFSET + F.col("rank"))).alias("part"))
+        rank(scored(scores), depth).select("qid", "id", (F.lit(w) / (OFFSET + F.col("rank"))).alias("part"))
         for scores, w in zip(lists, weights or [1.0] * len(lists))
     ]
     if direct is not None:
@@ -84,13 +88,18 @@ def top(fused: DataFrame, k: int) -> DataFrame:
     return ranked.select("qid", "id", "rank", (F.col("fused") / F.max("fused").over(Window.partitionBy("qid"))).alias("score"))
 
 
-def dense_fill(scores: DataFrame, items: DataFrame, questions: DataFrame) -> DataFrame:
+def dense_fill(scores: DataFrame, items: DataFrame, questions: DataFrame, filters: DataFrame | None = None) -> DataFrame:
     """Every item for every question that has any score, zeros included: what a dense ranking sees.
+    Items that fail their question's filter score -1.
 
     For small corpora and question sets only: the result has one row for each pair.
     """
     scored = questions.select("qid").join(scores.select("qid").distinct(), "qid", "left_semi")
-    return scored.crossJoin(items.select("id")).join(scores, ["qid", "id"], "left").select("qid", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    dense = scored.crossJoin(items.select("id")).join(scores, ["qid", "id"], "left").select("qid", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    if filters is None:
+        return dense
+    passed = filtered(dense, items, filters).select("qid", "id", F.lit(True).alias("passed"))
+    return dense.join(passed, ["qid", "id"], "left").select("qid", "id", F.when(F.col("passed"), F.col("score")).otherwise(-1.0).alias("score"))
 
 
 def coverage(index: Index, qterms: DataFrame, items: DataFrame, k: int) -> DataFrame:

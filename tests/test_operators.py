@@ -184,7 +184,11 @@ def test_fusion_filters_and_direct_hits(spark):
     for instance, year, want in (("2ª", None, {2, 3}), ("2ª", "2024", {2}), ("2ª", "1999", {1, 2, 3, 4}), (None, None, {1, 2, 3, 4})):
         f = spark.createDataFrame([(0, instance, year)], "qid long, instance string, year string")
         assert {r["id"] for r in search.filtered(scores, items, f).collect()} == want
-    assert search.dense_fill(scores, items, spark.createDataFrame([(0,), (1,)], "qid long")).count() == 4
+    asked = spark.createDataFrame([(0,), (1,)], "qid long")
+    assert search.dense_fill(scores, items, asked).count() == 4
+    dense = search.dense_fill(scores, items, asked, spark.createDataFrame([(0, "2ª", None)], "qid long, instance string, year string"))
+    order = search.rank(search.fuse([dense], fill=True), 9, "fused").orderBy("rank").collect()
+    assert [r["id"] for r in order] == [2, 3, 1, 4]
 
 
 def test_fusion_does_not_depend_on_the_order_of_lists(spark):
