@@ -132,7 +132,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/tesserae-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _OPEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing still to be computed reads."""
+    for t in tables:
+        _OPEN.remove((t.sparkSession, t.scratch_path))
+        _delete(t.sparkSession, t.scratch_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
