@@ -4,8 +4,9 @@ A text's k-mers are its runs of three words (the last two runs are shorter), eac
 occurrence in the text, so repeats count. Every numbered k-mer has one hash, which also deals it to
 one of 32 components (one-permutation hashing). A component takes its two least k-mers, puts them
 back in text order and hashes the pair: texts agree in a component when the same k-mers stand in the
-same order, so the share of agreeing components falls with edit distance. Of long texts only k-mers
-whose hash lies below a threshold (about 256 of them) need be sorted: the least are among them.
+same order, so the share of agreeing components falls with edit distance. Of long texts numbered k-mers
+whose hash lies below a threshold (about 256 of them) are dealt first: where each component gets two,
+these are the least of all. Otherwise all numbered k-mers are dealt.
 """
 
 from __future__ import annotations
@@ -25,39 +26,42 @@ def with_components(df: DataFrame, text: str, out: str) -> DataFrame:
     own, so that no lambda computes it again for each element.
     """
     c = lambda name: f"__{out}_{name}"
-    words, seen, sorted_, first, dealt, least, ordered = map(c, ("words", "seen", "sorted", "first", "dealt", "least", "ordered"))
+    words, sorted_, again, first, few, full, least, ordered = map(c, ("words", "sorted", "again", "first", "few", "full", "least", "ordered"))
     at = lambda a, i: F.get(F.col(a), i)
     df = df.withColumn(words, F.array_remove(F.split(F.col(text), "[ \\x09-\\x0D]+"), ""))
     n = F.greatest(F.size(words), F.lit(SAMPLE + 1))
     limit = ((F.lit(2.0 * SAMPLE) / n - 1) * F.lit(float(1 << 63))).cast("long")
     # b: hash of the k-mer; i: its place.
-    df = df.withColumn(seen, F.transform(words, lambda x, i: F.struct(F.xxhash64(x, at(words, i + 1), at(words, i + 2)).alias("b"), i.alias("i"))))
-    df = df.withColumn(sorted_, F.sort_array(F.when(F.size(seen) <= SAMPLE, F.col(seen)).otherwise(F.filter(seen, lambda e: e["b"] < limit))))
-    # Where each distinct k-mer begins in the sorted array.
+    df = df.withColumn(sorted_, F.sort_array(F.transform(words, lambda x, i: F.struct(F.xxhash64(x, at(words, i + 1), at(words, i + 2)).alias("b"), i.alias("i")))))
+    repeats = lambda e, j: (j > 0) & (at(sorted_, j - 1)["b"] == e["b"])
+    df = df.withColumn(again, F.filter(sorted_, repeats))
+    # Where each repeated k-mer begins among the repeats.
     df = df.withColumn(
         first,
         F.filter(
-            F.transform(sorted_, lambda e, j: F.struct(e["b"].alias("b"), j.alias("j"))),
-            lambda e: (e["j"] == 0) | (at(sorted_, e["j"] - 1)["b"] != e["b"]),
+            F.transform(again, lambda e, j: F.struct(e["b"].alias("b"), j.alias("j"))),
+            lambda e: (e["j"] == 0) | (at(again, e["j"] - 1)["b"] != e["b"]),
         ),
     )
     # v: hash of the k-mer with its occurrence number; the first occurrence keeps the k-mer's hash.
-    numbered = lambda e, o: F.struct(
-        F.pmod(F.when(o == 0, e["b"]).otherwise(F.xxhash64(e["b"], o)), F.lit(COMPONENTS)).cast("int").alias("bin"),
-        F.when(o == 0, e["b"]).otherwise(F.xxhash64(e["b"], o)).alias("v"), e["i"].alias("i"),
-    )
-    df = df.withColumn(
-        dealt,
-        F.sort_array(F.flatten(F.transform(first, lambda r, k: F.transform(
-            F.slice(sorted_, r["j"] + 1, F.coalesce(at(first, k + 1)["j"], F.size(sorted_)) - r["j"]), numbered
-        )))),
+    entry = lambda v, e: F.struct(F.pmod(v, F.lit(COMPONENTS)).cast("int").alias("bin"), v.alias("v"), e["i"].alias("i"))
+    # By index, as slice copies the whole array each time.
+    later = F.flatten(F.transform(first, lambda r, k: F.transform(
+        F.sequence(r["j"], F.coalesce(at(first, k + 1)["j"], F.size(again)) - 1), lambda j: entry(F.xxhash64(r["b"], j - r["j"] + 1), at(again, j))
+    )))
+    df = df.withColumn(again, later)
+    two = lambda a: F.filter(a, lambda e, j: (j < LEAST) | (at(a, j - LEAST)["bin"] != e["bin"]))
+    under = F.concat(
+        F.transform(F.filter(sorted_, lambda e, j: (e["b"] < limit) & ~repeats(e, j)), lambda e: entry(e["b"], e)),
+        F.filter(again, lambda e: e["v"] < limit),
     )
+    df = df.withColumn(few, F.when(F.size(words) > SAMPLE, F.sort_array(under)))
+    df = df.withColumn(few, two(few))
+    every = F.concat(F.transform(F.filter(sorted_, lambda e, j: ~repeats(e, j)), lambda e: entry(e["b"], e)), F.col(again))
+    df = df.withColumn(full, F.when(F.coalesce(F.size(few), F.lit(0)) < COMPONENTS * LEAST, F.sort_array(every)))
     df = df.withColumn(
         least,
-        F.transform(
-            F.filter(dealt, lambda e, j: (j < LEAST) | (at(dealt, j - LEAST)["bin"] != e["bin"])),
-            lambda e: F.struct(e["bin"].alias("bin"), e["i"].alias("i"), e["v"].alias("v")),
-        ),
+        F.transform(F.coalesce(two(full), F.col(few)), lambda e: F.struct(e["bin"].alias("bin"), e["i"].alias("i"), e["v"].alias("v"))),
     )
     df = df.withColumn(ordered, F.sort_array(least))
     pair = lambda e, j: F.xxhash64(e["v"], F.when(at(ordered, j + 1)["bin"] == e["bin"], at(ordered, j + 1)["v"]))
@@ -70,7 +74,7 @@ def with_components(df: DataFrame, text: str, out: str) -> DataFrame:
             lambda e: e.isNotNull(),
         ),
     )
-    return df.drop(words, seen, sorted_, first, dealt, least, ordered)
+    return df.drop(words, sorted_, again, first, few, full, least, ordered)
 
 
 def fingerprint(components: str) -> Column:

@@ -211,6 +211,26 @@ def test_order_matters_and_small_edits_do_little(docs_of):
     assert got[3]["near_next"] > 0.8 and got[2]["near_next"] < 0.75
 
 
+def test_components_hold_the_least_of_all_numbered_kmers(spark):
+    """Long repetitive texts too: the pairs restated from the hashes of every numbered k-mer."""
+    rng = random.Random(2)
+    texts = ["one two three four five six seven\n" * 200, "z " * 700, " ".join(rng.choices([f"v{i}" for i in range(6)], k=900)), " ".join(f"u{i}" for i in range(600)), "a b c a b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: [tuple(c) for c in r["own"]] for r in order_minhash.with_components(df, "text", "own").collect()}
+    grams = [(n, i, *(t.split()[i : i + 3] + [None] * 3)[:3]) for n, t in enumerate(texts) for i in range(len(t.split()))]
+    hashed = spark.createDataFrame(grams, "n int, i int, x string, y string, z string").selectExpr("n", "i", "xxhash64(x, y, z) AS b")
+    numbered = hashed.selectExpr("n", "i", "b", "cast(row_number() OVER (PARTITION BY n, b ORDER BY i) - 1 AS int) AS o").selectExpr("n", "i", "if(o = 0, b, xxhash64(b, o)) AS v")
+    dealt = {}
+    for r in numbered.collect():
+        dealt.setdefault((r["n"], r["v"] % 32), []).append((r["v"], r["i"]))
+    pairs = [(n, c, *([v for _, v in sorted((i, v) for v, i in sorted(p)[:2])] + [None])[:2]) for (n, c), p in dealt.items()]
+    want = {}
+    for r in spark.createDataFrame(pairs, "n int, c int, v long, w long").selectExpr("n", "c", "xxhash64(v, w) AS h").collect():
+        want.setdefault(r["n"], []).append((r["c"], r["h"]))
+    assert got == {n: sorted(p) for n, p in want.items()}
+    assert len(got[1]) == 32
+
+
 def test_fingerprints_of_ties_nulls_and_one_document(docs_of):
     assert rows(order_minhash.fingerprints(docs_of([]))) == []
     one = rows(order_minhash.fingerprints(docs_of([(5, "a b c d")])))[0]
