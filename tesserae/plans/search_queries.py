@@ -98,10 +98,21 @@ def _hybrid(spark, sf_dir):
 
 
 def _gold(spark, sf_dir):
-    """Documents that hold a benchmark passage word for word, found through its terms."""
-    q = questions(spark, sf_dir)
-    hits = search.rank(_bm25(spark, sf_dir), 50).select("qid", "id")
-    return hits.join(q, "qid").join(documents(spark, sf_dir).select("id", "text"), "id").where(F.col("text").contains(F.col("question"))).select("qid", "id")
+    """Documents that hold a benchmark passage word for word, whatever their rank.
+
+    All words of a passage but its first and last, which may be cut, are whole words of its holders:
+    these are found through the rarest of them, or one by one for passages without such words.
+    """
+    words = lambda c: F.split(c, "\\s+")
+    q = questions(spark, sf_dir).where("question rlike '\\\\S'")
+    docs = documents(spark, sf_dir).select("id", "text")
+    inner = q.select("qid", F.explode(F.array_distinct(F.slice(words("question"), 2, F.greatest(F.size(words("question")) - 2, F.lit(0))))).alias("word"))
+    held = spread(docs).select("id", F.explode(F.array_distinct(words("text"))).alias("word")).join(inner.select("word").distinct(), "word")
+    rarest = inner.join(held.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("qid").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    pairs = rarest.join(held, "word").select("qid", "id")
+    short = q.where(F.size(words("question")) < 3).select("qid").crossJoin(docs.select("id"))
+    both = pairs.unionByName(short).join(q, "qid").join(docs, "id")
+    return both.where(F.col("text").contains(F.col("question"))).select("qid", "id")
 
 
 def _top1(spark, sf_dir):

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tesserae.plans import ORACLES, QUERIES
+from tesserae.plans import ORACLES, QUERIES, search_queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,3 +34,13 @@ def test_query(spark, duck, name):
     want = duck.sql(ORACLES[name])
     assert sorted(want.columns) == sorted(df.columns)
     assert plain(got) == plain(duck.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in sorted(df.columns))} FROM ({ORACLES[name]})").fetchall())
+
+
+def test_gold_holds_documents_of_any_rank(spark, tmp_path):
+    """Sixty short documents of the same words outrank the one that holds the passage."""
+    passage = "alpha beta gamma delta"
+    texts = {i: "beta alpha delta gamma" for i in range(60)} | {60: f"{'other words here ' * 200}x{passage}y end", 61: "a one-word b", 62: None}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, "one-word"), (3, ""), (4, None), (5, "absent from all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {tuple(r) for r in search_queries._gold(spark, str(tmp_path)).collect()} == {(1, 60), (2, 61)}
+    assert QUERIES["eval_top1"](spark, str(tmp_path)).first()["n"] == 2
