@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,19 +50,75 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered up to a bound; forgetting changes no result."""
-
-    BOUND = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.BOUND:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Bytes of text that are hashed at once, and the length from which a word is hashed by itself.
+HASH_BYTES, LONG_WORD = 1 << 19, 32
+_SPACES = bytes([0x20, *range(0x09, 0x0E)])
+_IS_WORD = np.array([b not in _SPACES for b in range(256)])
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+_LOWERED = _BYTE[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
+
+
+def _word_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word of data: a wrapping polynomial over its bytes by prefix sums,
+    mixed with its length. Long words take a hash of their own, as polynomials of long strings with
+    a structure can agree."""
+    b = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = _IS_WORD[b]
+    turn = np.diff(inside)
+    start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    power, inverse = _powers(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((_LOWERED if lower else _BYTE)[b] * power[: len(b)], out=total[1:])
+    length = (end - start).astype(np.uint64)
+    h = mix((total[end] - total[start]) * inverse[start] + length * _U(_BASE))
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        word = data[start[i] : end[i]]
+        h[i] = xxhash.xxh64_intdigest(word.lower() if lower else word, LONG_WORD)
+    return h, start
+
+
+def _pieces(text: bytes):
+    """A text in parts of about HASH_BYTES, cut at white space."""
+    at = 0
+    while len(text) - at > HASH_BYTES:
+        end = at + HASH_BYTES
+        while end < len(text) and text[end] not in _SPACES:
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> list[np.ndarray]:
+    """64-bit hashes of each text's words in order; with lower, A-Z count as a-z.
+
+    Texts are hashed many at a time in numpy, so no dictionary of words is kept.
+    """
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+
+    def flush():
+        if held:
+            h, start = _word_hashes(b"\n".join(held), lower)
+            ends = np.cumsum([len(t) + 1 for t in held])
+            out.extend(np.split(h, np.searchsorted(start, ends[:-1])))
+            held.clear()
+
+    for text in texts:
+        if len(text) > HASH_BYTES:
+            flush()
+            size = 0
+            out.append(np.concatenate([_word_hashes(x, lower)[0] for x in _pieces(text)]))
+            continue
+        held.append(text)
+        size += len(text)
+        if size > HASH_BYTES:
+            flush()
+            size = 0
+    flush()
+    return out
 
 
 #: Odd multipliers by position; a window's hash is the mixed wrapped sum of its words' products.
@@ -82,17 +139,6 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def long_windows(h: np.ndarray, k: int) -> np.ndarray:
-    """As windows(), for large k: a wrapping polynomial by prefix sums, then mixed."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    power, inverse = _powers(len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h) * power[: len(h)], out=total[1:])
-    return mix((total[k:] - total[:n]) * inverse[:n])
-
-
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -113,16 +159,23 @@ def arrow(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- scratch tables
 
-_OPEN: list[tuple[SparkSession, str]] = []
+#: Lists of scratch tables, the innermost owner last. The first belongs to the process.
+_OWNERS: list[list[tuple[SparkSession, str]]] = [[]]
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is named (tests), a folder of our own."""
+    """The shared folder that the cluster names in spark.checkpoint.dir, else the context's checkpoint
+    folder. Only a local master gets a folder of our own; a cluster without one is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file:///tmp/checkpoints"
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(root)
+        context = spark.sparkContext
+        given = context._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            return given.get().rstrip("/")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file:///tmp/checkpoints")
+        root = context._jsc.sc().getCheckpointDir().get()
     return root.rstrip("/")
 
 
@@ -131,17 +184,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tesserae-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    _OPEN.append((spark, path))
+    own_later(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+def own_later(spark: SparkSession, path: str) -> None:
+    """Have the folder above path deleted when its owner ends."""
+    _OWNERS[-1].append((spark, path))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete saved tables that nothing still to be computed reads."""
     for t in tables:
-        _OPEN.remove((t.sparkSession, t.scratch_path))
-        _delete(t.sparkSession, t.scratch_path)
+        for owner in _OWNERS:
+            if (t.sparkSession, t.scratch_path) in owner:
+                owner.remove((t.sparkSession, t.scratch_path))
+                _delete(t.sparkSession, t.scratch_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -150,25 +210,26 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release() -> None:
-    """Delete the scratch tables written so far. Only call when every result built on them has been written."""
-    while _OPEN:
-        spark, path = _OPEN.pop()
-        try:
+@contextmanager
+def owned():
+    """Tables saved inside are deleted at the end, those of other calls are not: results that read
+    them must have been written by then."""
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _OWNERS.pop():
             _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended
-            continue
-
 
-atexit.register(release)
 
+def _at_exit() -> None:
+    for owner in _OWNERS:
+        for spark, path in owner:
+            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+                _delete(spark, path)
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished intermediate queries now."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+atexit.register(_at_exit)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -176,5 +237,18 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
-def buckets(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text that a bucket's share of the input stands for, and buckets at most: a packed row for
+#: each bucket has to stay worth its overhead.
+BUCKET_BYTES, MAX_BUCKETS = 16 << 20, 1 << 16
+
+
+def text_bytes(rows: DataFrame) -> int:
+    return rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+
+
+def buckets(rows: DataFrame) -> int:
+    """Buckets for a table with a text column, from its bytes; a few for each shuffle partition, so
+    that those of one task are many and even."""
+    spark = rows.sparkSession
+    by_bytes = min(MAX_BUCKETS, text_bytes(rows) // BUCKET_BYTES + 1)
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), by_bytes)

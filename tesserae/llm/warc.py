@@ -18,7 +18,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import maybe_broadcast, saved, scratch_root, steps
+from .common import own_later, maybe_broadcast, saved, scratch_root, steps
 
 VERSION = b"WARC/1.1\r\n"
 #: The first bytes of an uncompressed record, and of a gzip member.
@@ -240,9 +240,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{scratch_root(spark)}/tesserae-{uuid.uuid4().hex}/warc"
     write_warc(pages, path)
-    from .common import _OPEN
-
-    _OPEN.append((spark, path))
+    own_later(spark, path)
     number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
     return read_warc(spark, path, with_payload=False).where("reason is null").select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
