@@ -55,16 +55,70 @@ def test_against_brute_force(spark, tmp_path, docs_of, corpus):
 
 def test_hot_anchors_and_small_batches_change_nothing(spark, tmp_path, docs_of, corpus, monkeypatch):
     monkeypatch.setattr(sd, "HOT_BLOCKS", 3)
-    monkeypatch.setattr(sd, "HOT_SHARE", 100_000)
+    monkeypatch.setattr(sd, "HOT_TIMES", 0)
+    monkeypatch.setattr(sd, "MAX_SLOT_BITS", 20)
     monkeypatch.setattr(sd, "FLUSH_WORDS", 500)
     assert result(spark, tmp_path, corpus, docs_of) == brute(corpus)
 
 
-def test_repeated_ids_and_empty_table(spark, tmp_path, docs_of):
+def test_repeated_and_null_ids(spark, tmp_path, docs_of):
     long = " ".join(f"q{i}" for i in range(40))
-    rows = [(1, long), (1, "other text"), (None, long + " tail"), (2, "short")]
+    rows = [(1, long), (1, "other text"), (None, long + " tail"), (2, "short"), (2, "short")]
     assert result(spark, tmp_path, rows, docs_of) == brute(rows)
-    assert result(spark, tmp_path / "e", [(0, None)], docs_of) == brute([(0, None)])
+
+
+def test_empty_table_and_texts_without_words(spark, docs_of):
+    assert sd.remove_duplicates(docs_of([(1, "a")]).limit(0)).count() == 0
+    assert sd.strip_duplicates(docs_of([(1, "a")]).limit(0)).count() == 0
+    got = [tuple(r) for r in sd.remove_duplicates(docs_of([(0, None), (1, ""), (2, " \n")])).collect()]
+    assert sorted(got) == [(i, 0, 0, "", []) for i in range(3)]
+
+
+def test_very_long_texts(spark, tmp_path, docs_of):
+    rng = random.Random(4)
+    w = [f"z{rng.randrange(5000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[50_000:50_200])), (3, "same " * 30_000), (4, " ".join(w[:40_000]) + " end")]
+    assert result(spark, tmp_path, rows, docs_of) == brute(rows)
+
+
+def test_factors_and_their_references(docs_of, corpus):
+    """Each factor is the same words at its reference, which is another place."""
+    rows = [(i, t) for i, t in corpus if t]
+    words = {i: WORD.findall(t) for i, t in rows}
+    n = 0
+    for r in sd.remove_duplicates(docs_of(rows)).collect():
+        for f in r["factors"]:
+            n += 1
+            assert f["length"] >= sd.WINDOW and (f["ref"], f["at"]) != (r["doc_id"], f["start"])
+            assert words[f["ref"]][f["at"] : f["at"] + f["length"]] == words[r["doc_id"]][f["start"] : f["start"] + f["length"]]
+    assert n > 100
+
+
+def test_longest_matches_and_the_greedy_parse():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        sizes = rng.integers(1, 12, 12)
+        window = rng.integers(1, rng.integers(2, 9), sizes.sum()).astype(np.uint64)
+        remaining = np.concatenate([np.arange(n, 0, -1) for n in sizes])
+        length, place = sd.longest_matches(window, np.zeros(len(window), np.uint64), remaining)
+
+        def common(p, q):
+            k = 0
+            while k < min(remaining[p], remaining[q]) and window[p + k] == window[q + k]:
+                k += 1
+            return k
+
+        want = [max(common(p, q) for q in range(len(window)) if q != p) for p in range(len(window))]
+        assert length.tolist() == want
+        assert all(n == 0 or (q != p and common(p, q) == n) for p, (n, q) in enumerate(zip(length, place)))
+        taken, at = [], 0
+        while at < len(window):
+            if want[at]:
+                taken.append(at)
+            at += max(1, want[at])
+        assert sorted(sd.greedy_factors(length, remaining).tolist()) == taken
 
 
 def test_strip_keeps_columns_and_untouched_texts(docs_of):
@@ -75,8 +129,8 @@ def test_strip_keeps_columns_and_untouched_texts(docs_of):
     assert got[1]["n_chars"] == 3 and got[3]["n_chars"] == 0 and got[1]["cls"] == 7
 
 
-def test_factors_join_at_their_boundaries():
-    import numpy as np
-
-    spans = [np.array([[0, 1], [20, 2]], np.uint32).tobytes(), np.array([[60, 1]], np.uint32).tobytes()]
-    assert sd.factors(120, spans).tolist() == [[0, 56], [60, 35]]
+def test_clashing_column_names(spark):
+    long = " ".join(f"q{i}" for i in range(40))
+    rows = [(1, long + " a", "s", 5, "r"), (2, "b " + long, "t", 6, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, key_id int, row string")
+    assert sorted(tuple(r) for r in sd.strip_duplicates(docs).collect()) == [(1, "a", "s", 5, "r"), (2, "b", "t", 6, "q")]
