@@ -1,20 +1,23 @@
 """Byte-level BPE encoding and decoding over Arrow batches (operator 3).
 
-Encoding maps a match's bytes to printable characters, runs the tokenizers library on them and maps
-token offsets back to bytes. Decoding looks each id's bytes up and joins them before reading UTF-8,
-so a character that is split over tokens comes back whole.
+Encoding maps a match's bytes to printable characters and runs the tokenizers library on them; one
+character of a token is one byte, so token lengths give the offsets. Decoding takes the ids'
+characters back through the reversed byte table, a few ids at a time; text is read from the bytes by an
+incremental UTF-8 decoder, which holds a character that is split over tokens until it is whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import steps
-from .tokens import Encoder, rank_encoder
+from .tokens import Encoder, rank_encoder, to_bytes
 
 
 def encode_with_offsets(encoder: Encoder, text: str) -> tuple[list[int], list[tuple[int, int]]]:
@@ -36,26 +39,52 @@ def char_offsets(text: str, offsets: list[tuple[int, int]]) -> list[tuple[int, i
     return [(int(number[a]), int(number[b - 1]) + 1) for a, b in offsets]
 
 
-def decode(table: list[bytes], ids) -> bytes:
-    return b"".join(map(table.__getitem__, ids))
+#: Ids that are decoded at once.
+CHUNK = 4096
+
+
+def decode(table: list[str], ids):
+    """The bytes of ids, a chunk at a time."""
+    for at in range(0, len(ids), CHUNK):
+        yield to_bytes("".join(map(table.__getitem__, ids[at : at + CHUNK])))
+
+
+def decode_text(chunks) -> str:
+    """The text of chunks of bytes that may end within a character; what is no UTF-8 becomes U+FFFD."""
+    read = codecs.getincrementaldecoder("utf-8")("replace")
+    return "".join([read.decode(c) for c in chunks]) + read.decode(b"", True)
+
+
+@lru_cache(maxsize=4)
+def _lengths(path: str, pattern: str) -> np.ndarray:
+    """Bytes of each id."""
+    return np.array([len(t) for t in rank_encoder(path, pattern)[1]], np.int64)
 
 
 def _rows(path: str, pattern: str):
     def run(batches):
         encoder, table = rank_encoder(path, pattern)
+        lengths = _lengths(path, pattern)
         names = [str(i) for i in range(len(table))]
         for keys, texts in steps(batches):
-            n, ids_sha, bytes_sha = [], [], []
-            for text in texts:
-                ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                bytes_sha.append(hashlib.sha256(decode(table, ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(bytes_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out = []
+            for key, text in zip(keys, texts):
+                ids = np.frombuffer(encoder.encode(text), "<u4")
+                ends = np.cumsum(lengths[ids])
+                ids = ids.tolist()
+                data = b"".join(decode(table, ids))
+                # Ends of tokens, by their offsets, that lie before a continuation byte split a character.
+                split = np.count_nonzero(np.frombuffer(data, np.uint8)[ends[:-1]] & 0xC0 == 0x80)
+                out.append((key, len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(data).hexdigest(), int(ends[-1]) if ids else 0, int(split)))
+            columns = zip(*out) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ROUND_TRIP)], schema=ROUND_TRIP)
 
     return run
 
 
+ROUND_TRIP = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_bytes", pa.int64()), ("n_split_chars", pa.int64())])
+
+
 def _encoded(path: str, pattern: str):
     def run(batches):
         encoder, table = rank_encoder(path, pattern)
@@ -73,7 +102,8 @@ def _decoded(path: str, pattern: str):
     def run(batches):
         table = rank_encoder(path, pattern)[1]
         for keys, ids in steps(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([decode(table, x or []) for x in ids], pa.binary())], names=["doc_id", "data"])
+            data = [list(decode(table, x or [])) for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([b"".join(x) for x in data], pa.binary()), pa.array(map(decode_text, data), pa.string())], names=["doc_id", "data", "text"])
 
     return run
 
@@ -98,13 +128,20 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
-    """(doc_id, data): the bytes that (doc_id, ids) stand for; null ids give no bytes."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoded(path, pattern or default_pattern()), "doc_id long, data binary")
+    """(doc_id, data, text): the bytes that (doc_id, ids) stand for and the text that they spell; null ids
+    give no bytes; a character whose bytes are cut off or wrong becomes U+FFFD in text."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(path, pattern or default_pattern()), "doc_id long, data binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row: encodes whole texts, then decodes the ids."""
-    return _texts(docs).mapInArrow(_rows(path, pattern or default_pattern()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, n_split_chars per row: encodes whole texts,
+    however long, then decodes the ids.
+
+    n_bytes is the last token's end offset, n_split_chars the number of tokens that end within a
+    character. Null texts count as empty; repeated rows give equal rows; other columns are ignored; an
+    empty table gives an empty table.
+    """
+    return _texts(docs).mapInArrow(_rows(path, pattern or default_pattern()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, n_split_chars long")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

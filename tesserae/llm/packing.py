@@ -117,13 +117,16 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = WINDOW) -> DataFr
 
     Ids come from the tokenizers file at path (its place on every executor); special tokens' strings
     in a text are ordinary text; each document ends with id 1. Null texts count as empty: one piece
-    of one id. Repeated rows are packed as often as they occur; other columns are ignored; an empty
-    table gives an empty table.
+    of one id. Repeated rows are packed as often as they occur, in any bin; pieces of one length go by
+    id and start; other columns, of clashing names too, are ignored; an empty table gives an empty
+    table. Long texts are encoded whole.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     pieces = saved(texts.mapInArrow(_pieces(path, pattern, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     n_bins = pieces.count() // BIN_PIECES + 1
-    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_bins)).cast("int"))
+    # Repeated rows have one hash; the written file and place in it tell them apart, and never change.
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", place), F.lit(n_bins)).cast("int"))
     return dealt.groupBy("bin").applyInArrow(_pack(n_bins, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

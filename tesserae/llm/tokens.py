@@ -2,22 +2,27 @@
 
 The library takes most of its time for words that it has already seen. So a text is cut where a
 space stands before a character that isn't white space, which always starts a new match of the
-pattern; each distinct piece is matched and encoded by the library once per worker and then looked
-up. Texts where a space stands before more white space are matched as a whole.
+pattern; each distinct piece is matched and encoded by the library and remembered by the worker, in
+two generations, so that frequent words stay when the older one goes.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: Pieces that a worker remembers; forgetting changes no result.
-BOUND = 250_000
-#: A space before any white space: cutting there could split a match.
+#: Pieces in a generation of a worker's memory; forgetting changes no result.
+BOUND = 300_000
+#: A space before any white space: only then can a space not start a match.
 _WIDE = regex.compile(r" (?=\s)|\s $")
+_CUT = regex.compile(r" (?=\S)")
+#: Matches a space and letters as one.
+_LETTERS = r" ?\p{L}+"
 
 
 def byte_chars() -> list[str]:
@@ -27,47 +32,66 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
+_CHARS = "".join(byte_chars())
+_BYTES = codecs.charmap_build(_CHARS)
+
+
+def to_chars(data: bytes) -> str:
+    """Each byte's character."""
+    return codecs.charmap_decode(data, "strict", _CHARS)[0]
+
+
+def to_bytes(chars: str) -> bytes:
+    """The byte that each character stands for: the table reversed."""
+    return codecs.charmap_encode(chars, "strict", _BYTES)[0]
+
+
+class _Memory(dict):
+    """Remembers what make gives for a key; entries of the older generation that are asked for again
+    come over to the newer one."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= BOUND:
+            self.older = self.copy()
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of whole texts under a tokenizers model and a pattern; as packed little-endian uint32."""
 
     def __init__(self, model, pattern: str):
         self.model = model
         self.match = regex.compile(pattern).findall
-        self.to_char = dict(enumerate(byte_chars()))
-        self.pieces: dict[str, bytes] = {}
-        self.words = _Words(self)
+        self.letters = _LETTERS in pattern.split("|")
+        self.pieces = _Memory(self._ids)
+        self.words = _Memory(self._word)
 
-    def piece(self, piece: str) -> bytes:
+    def _ids(self, piece: str) -> bytes:
         """Ids of one match of the pattern."""
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= BOUND:
-                self.pieces.clear()
-            found = self.pieces[piece] = np.array([t.id for t in self.tokens(piece)], "<u4").tobytes()
-        return found
+        return array("I", [t.id for t in self.tokens(piece)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and word."""
+        if self.letters and word.isalpha():
+            return self._ids(f" {word}")
+        return b"".join(map(self.pieces.__getitem__, self.match(f" {word}")))
 
     def tokens(self, piece: str):
         """The library's tokens of one match, over its bytes' characters: id, value and offsets."""
-        return self.model.tokenize(piece.encode().decode("latin-1").translate(self.to_char))
+        return self.model.tokenize(to_chars(piece.encode()))
 
     def encode(self, text: str) -> bytes:
-        if _WIDE.search(text):
-            return b"".join(map(self.piece, self.match(text)))
-        first, *rest = text.split(" ")
+        first, *rest = _CUT.split(text) if _WIDE.search(text) else text.split(" ")
         # A leading space is an empty first piece; every later piece has its space again.
-        return b"".join(map(self.piece, self.match(first))) + b"".join(map(self.words.__getitem__, rest))
-
-
-class _Words(dict):
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= BOUND:
-            self.clear()
-        e = self.encoder
-        value = self[word] = b"".join(map(e.piece, e.match(f" {word}")))
-        return value
+        return b"".join(map(self.pieces.__getitem__, self.match(first))) + b"".join(map(self.words.__getitem__, rest))
 
 
 @lru_cache(maxsize=4)
@@ -84,8 +108,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def rank_encoder(path: str, pattern: str) -> tuple[Encoder, list[bytes]]:
-    """An encoder for a rank file, and the bytes of each id.
+def rank_encoder(path: str, pattern: str) -> tuple[Encoder, list[str]]:
+    """An encoder for a rank file, and the characters of each id.
 
     The rank rule joins the neighbours whose joint bytes have the least rank, so every way to cut a
     token in two known ones is a merge, in the order of the tokens' ranks; a whole match that is a
@@ -94,14 +118,13 @@ def rank_encoder(path: str, pattern: str) -> tuple[Encoder, list[bytes]]:
     from tokenizers.models import BPE
 
     ranks = read_ranks(path)
-    chars = byte_chars()
-    name = {t: "".join(chars[b] for b in t) for t in ranks}
+    name = {t: to_chars(t) for t in ranks}
     merges = [
         (name[t[:i]], name[t[i:]])
         for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
     ]
     model = BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
-    table = [b""] * (max(ranks.values()) + 1)
+    table = [""] * (max(ranks.values()) + 1)
     for t, r in ranks.items():
-        table[r] = t
+        table[r] = name[t]
     return Encoder(model, pattern), table
