@@ -4,17 +4,17 @@ A text's k-mers are its runs of three words (the last two runs are shorter), eac
 occurrence in the text, so repeats count. Every numbered k-mer has one hash, which also deals it to
 one of 32 components (one-permutation hashing). A component takes its two least k-mers, puts them
 back in text order and hashes the pair: texts agree in a component when the same k-mers stand in the
-same order, so the share of agreeing components falls with edit distance. Of long texts numbered k-mers
-whose hash lies below a threshold (about 256 of them) are dealt first: where each component gets two,
-these are the least of all. Otherwise all numbered k-mers are dealt.
+same order, so the share of agreeing components falls with edit distance. All numbered k-mers are
+ranked, whatever a text's length.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-COMPONENTS, LEAST, SAMPLE = 32, 2, 256
-#: Documents between two neighbours' hand-over, on average at most.
+COMPONENTS, LEAST = 32, 2
+#: Documents in a range of ids, on average at most.
 BUCKET_ROWS = 20_000
 _LOWEST = -(1 << 63)
 
@@ -26,11 +26,9 @@ def with_components(df: DataFrame, text: str, out: str) -> DataFrame:
     own, so that no lambda computes it again for each element.
     """
     c = lambda name: f"__{out}_{name}"
-    words, sorted_, again, first, few, full, least, ordered = map(c, ("words", "sorted", "again", "first", "few", "full", "least", "ordered"))
+    words, sorted_, again, first, every, least, ordered = map(c, ("words", "sorted", "again", "first", "every", "least", "ordered"))
     at = lambda a, i: F.get(F.col(a), i)
     df = df.withColumn(words, F.array_remove(F.split(F.col(text), "[ \\x09-\\x0D]+"), ""))
-    n = F.greatest(F.size(words), F.lit(SAMPLE + 1))
-    limit = ((F.lit(2.0 * SAMPLE) / n - 1) * F.lit(float(1 << 63))).cast("long")
     # b: hash of the k-mer; i: its place.
     df = df.withColumn(sorted_, F.sort_array(F.transform(words, lambda x, i: F.struct(F.xxhash64(x, at(words, i + 1), at(words, i + 2)).alias("b"), i.alias("i")))))
     repeats = lambda e, j: (j > 0) & (at(sorted_, j - 1)["b"] == e["b"])
@@ -50,19 +48,9 @@ def with_components(df: DataFrame, text: str, out: str) -> DataFrame:
         F.sequence(r["j"], F.coalesce(at(first, k + 1)["j"], F.size(again)) - 1), lambda j: entry(F.xxhash64(r["b"], j - r["j"] + 1), at(again, j))
     )))
     df = df.withColumn(again, later)
-    two = lambda a: F.filter(a, lambda e, j: (j < LEAST) | (at(a, j - LEAST)["bin"] != e["bin"]))
-    under = F.concat(
-        F.transform(F.filter(sorted_, lambda e, j: (e["b"] < limit) & ~repeats(e, j)), lambda e: entry(e["b"], e)),
-        F.filter(again, lambda e: e["v"] < limit),
-    )
-    df = df.withColumn(few, F.when(F.size(words) > SAMPLE, F.sort_array(under)))
-    df = df.withColumn(few, two(few))
-    every = F.concat(F.transform(F.filter(sorted_, lambda e, j: ~repeats(e, j)), lambda e: entry(e["b"], e)), F.col(again))
-    df = df.withColumn(full, F.when(F.coalesce(F.size(few), F.lit(0)) < COMPONENTS * LEAST, F.sort_array(every)))
-    df = df.withColumn(
-        least,
-        F.transform(F.coalesce(two(full), F.col(few)), lambda e: F.struct(e["bin"].alias("bin"), e["i"].alias("i"), e["v"].alias("v"))),
-    )
+    df = df.withColumn(every, F.sort_array(F.concat(F.transform(F.filter(sorted_, lambda e, j: ~repeats(e, j)), lambda e: entry(e["b"], e)), F.col(again))))
+    two = F.filter(every, lambda e, j: (j < LEAST) | (at(every, j - LEAST)["bin"] != e["bin"]))
+    df = df.withColumn(least, F.transform(two, lambda e: F.struct(e["bin"].alias("bin"), e["i"].alias("i"), e["v"].alias("v"))))
     df = df.withColumn(ordered, F.sort_array(least))
     pair = lambda e, j: F.xxhash64(e["v"], F.when(at(ordered, j + 1)["bin"] == e["bin"], at(ordered, j + 1)["v"]))
     df = df.withColumn(
@@ -74,7 +62,7 @@ def with_components(df: DataFrame, text: str, out: str) -> DataFrame:
             lambda e: e.isNotNull(),
         ),
     )
-    return df.drop(words, sorted_, again, first, few, full, least, ordered)
+    return df.drop(words, sorted_, again, first, every, least, ordered)
 
 
 def fingerprint(components: str) -> Column:
@@ -89,48 +77,68 @@ def likeness(a: str, b: str) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
-def with_next(rows: DataFrame, n_rows: int, key: str, *columns: str) -> DataFrame:
-    """Add next_<column>: the column's value in the next row, descending key; after the last, the first.
+def _below(cuts: str, key: str, n: int, or_equal: bool) -> Column:
+    """How many of up to n rising cuts lie below key, by binary search."""
+    def step(at: Column, width: Column) -> Column:
+        cut = F.get(F.col(cuts), at + width - 1)
+        return F.when(cut <= F.col(key) if or_equal else cut < F.col(key), at + width).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))]), F.lit(0), step)
+
+
+def ranged(rows: DataFrame, n: int, key: str, tie: str) -> DataFrame:
+    """Add __range (0 to n - 1): rows by rising key, and by falling tie under one key.
 
-    Keys are cut into ranges at approximate quantiles, a window runs in each range, and the first row
-    of the next range stands as a sentinel at each range's end, so nothing is ordered in one task.
-    columns must be names in rows; expressions over them that rows defines are computed for the few
-    sentinels again.
+    The cuts are approximate quantiles of key, in one broadcast row. A key that stands for several
+    cuts is split over their ranges by its ties, so a hot key is not one range.
     """
-    spark = rows.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // BUCKET_ROWS + 1)
-    cuts = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(v).cast("long") for v in sorted(set(cuts))])
-    ranged = rows.withColumn("__range", F.size(F.filter(bounds, lambda v: v < F.col(key))) if cuts else F.lit(0))
-    # At most one row for each range.
-    heads = sorted((r["__range"], r["head"]) for r in ranged.groupBy("__range").agg(F.max(key).alias("head")).collect())
-    order = [F.col("__sentinel"), F.col(key).desc(), F.col("__tie")]
-    ranged = ranged.withColumn("__tie", F.xxhash64(*columns)).withColumn("__sentinel", F.lit(0))
-    if heads:
-        before = {head: heads[(k + 1) % len(heads)][0] for k, (_, head) in enumerate(heads)}
-        firsts = ranged.where(F.col(key).isin(list(before)))
-        firsts = firsts.withColumn("__n", F.row_number().over(Window.partitionBy("__range", key).orderBy("__tie"))).where("__n = 1").drop("__n")
-        serves = F.element_at(F.create_map(*[F.lit(v).cast("long" if i % 2 == 0 else "int") for i, v in enumerate(x for kv in before.items() for x in kv)]), F.col(key))
-        ranged = ranged.unionByName(firsts.withColumn("__range", serves).withColumn("__sentinel", F.lit(1)))
-    w = Window.partitionBy("__range").orderBy(*order)
-    for c in columns:
-        ranged = ranged.withColumn(f"next_{c}", F.lead(c).over(w))
-    return ranged.where("__sentinel = 0").drop("__range", "__tie", "__sentinel")
+    cuts = rows.agg(F.percentile_approx(key, F.lit(np.arange(1, n) / n), F.lit(max(10_000, 20 * n))).alias("__cuts"))
+    rows = rows.join(F.broadcast(cuts), F.lit(True)).withColumn("__low", _below("__cuts", key, n, False)).withColumn("__high", _below("__cuts", key, n, True))
+    share = F.col(tie) / F.lit(2.0**64) + 0.5
+    return rows.withColumn("__range", F.col("__high") - F.least(F.floor(share * (F.col("__high") - F.col("__low") + 1)).cast("int"), F.col("__high") - F.col("__low"))).drop("__cuts", "__low", "__high")
+
+
+def with_next(rows: DataFrame, n_rows: int, key: str, tie: str, text: str, components: str) -> DataFrame:
+    """Add the components of text, and next_<text>, next_<components>: those of the next row by falling
+    key and rising tie; after the last, the first.
+
+    A window runs in each range of keys, and the first row of the next range stands as a sentinel at
+    each range's end, so nothing is ordered in one task. Only texts are shuffled; components are
+    computed behind the shuffle.
+    """
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // BUCKET_ROWS + 1)
+    rows = ranged(rows, n, key, tie)
+    heads = rows.groupBy("__range").agg(F.max(F.struct(F.col(key).alias("key"), F.bitwise_not(tie).alias("tie"))).alias("h"))
+    # One row for each range, ordered together: n of them.
+    by_range = Window.orderBy("__range")
+    heads = heads.select(
+        F.col("__range").alias("r"), F.col("h.key").alias("k"), F.bitwise_not("h.tie").alias("t"),
+        F.coalesce(F.lead("__range").over(by_range), F.min("__range").over(Window.partitionBy())).alias("serves"),
+    )
+    heads = F.broadcast(heads) if n <= 1_000_000 else heads
+    firsts = rows.join(heads, (F.col("__range") == F.col("r")) & (F.col(key) == F.col("k")) & (F.col(tie) == F.col("t")))
+    firsts = firsts.groupBy("serves").agg(F.first(text).alias(text)).select(F.col("serves").alias("__range"), text, F.lit(1).alias("__sentinel"))
+    rows = rows.withColumn("__sentinel", F.lit(0)).unionByName(firsts, allowMissingColumns=True).repartition(n, "__range")
+    rows = with_components(rows, text, components)
+    w = Window.partitionBy("__range").orderBy("__sentinel", F.col(key).desc(), tie)
+    return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (text, components)]).where("__sentinel = 0").drop("__range", "__sentinel")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.
 
-    Null texts count as empty; repeated ids follow one another in an order fixed by their texts; null
+    Null texts count as empty; two texts without words are alike (1), one is unlike any other (0); long
+    texts are read whole; repeated ids follow one another in an order fixed by their texts' hashes; null
     ids come last; a lone document is its own next; other columns are ignored; an empty table gives
     an empty table.
     """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("__key"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        text.alias("text"), F.xxhash64(text).alias("__tie"),
     )
-    rows = with_next(with_components(rows, "text", "own"), rows.count(), "__key", "text", "own")
+    rows = with_next(rows, rows.count(), "__key", "__tie", "text", "own")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", "own", "next_own", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
