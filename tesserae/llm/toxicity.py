@@ -1,28 +1,27 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 10).
 
-Confirmed toxic documents are the positives; the other text is unlabelled, not negative. Linear
-classifiers over the set of a document's words and their beginnings minimise
+Confirmed toxic documents are the positives; the other text is unlabelled, not negative. A linear
+classifier over the set of a document's words and their beginnings minimises
 
     p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)),
 
 p the class prior; where the difference turns negative the step goes against it, so the classifier
-can't fit unlabelled positives as negatives. Several are trained in numpy, each on its own part of a
-bounded sample, and their mean logit is the score.
+can't fit unlabelled positives as negatives. It is trained in numpy on bounded samples. The unlabelled
+sample is drawn from all text that may be learned from, known positives included with their label
+hidden, so that its class prior is that of the training labels.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, id_and_bytes, saved, steps
+from .common import id_and_bytes, saved, steps, word_hashes
 from .labelled import held_out, share, training_labels
 
-#: Documents that training uses at most, chosen by a hash of their ids, and the parts they form.
-MAX_POSITIVE, MAX_UNLABELLED, PARTS = 12_000, 24_000, 4
+#: Documents that training uses at most, chosen by a hash of their ids.
+MAX_POSITIVE, MAX_UNLABELLED = 12_000, 24_000
 #: log2 of the hashed features; a feature is used if it is so many times as frequent among positives
 #: as among the unlabelled, by so many standard deviations.
 HASH_BITS, MIN_LIFT, MIN_SIGMAS = 20, 2.0, 4.0
@@ -34,7 +33,6 @@ PRIOR = (0.01, 0.5, 0.1)
 
 _MASK = (1 << HASH_BITS) - 1
 _TO_SPACE = bytes(32 if chr(b) in ".,;:!?\"'()[]{}*#|-_/\\<>" else b for b in range(256))
-_HASHES = WordHashes()
 
 
 def features_of(text: bytes) -> set[bytes]:
@@ -47,10 +45,14 @@ def features_of(text: bytes) -> set[bytes]:
     return out
 
 
+def hashed_features(texts: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct feature numbers of each text."""
+    return [np.unique(h & np.uint64(_MASK)).astype(np.uint32) for h in word_hashes([b" ".join(features_of(t)) for t in texts])]
+
+
 def _hashed(batches):
-    for label, part, texts in steps(batches):
-        rows = [np.unique(_HASHES.array(list(features_of(t))) & np.uint64(_MASK)).astype(np.uint32).tobytes() for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(part, pa.int32()), pa.array(rows, pa.binary())], names=["label", "part", "words"])
+    for label, texts in steps(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([x.tobytes() for x in hashed_features(texts)], pa.binary())], names=["label", "words"])
 
 
 def fit(words: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -103,20 +105,12 @@ def _train(prior: float):
     return run
 
 
-def _score(weights: dict[int, float], bias: float):
-    known: dict[bytes, float] = {}
-
-    class Weights(dict):
-        def __missing__(self, word):
-            if len(self) >= WordHashes.BOUND:
-                self.clear()
-            value = self[word] = weights.get(_HASHES[word] & _MASK, 0.0)
-            return value
-
+def _score(used: np.ndarray, weights: np.ndarray, bias: float):
     def run(batches):
-        get = Weights(known).__getitem__
+        dense = np.zeros(1 << HASH_BITS)
+        dense[used] = weights
         for ids, texts in steps(batches):
-            z = np.array([math.fsum(map(get, features_of(t))) for t in texts], np.float64) + bias
+            z = np.array([dense[x].sum() for x in hashed_features(texts)], np.float64) + bias
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
 
     return run
@@ -125,35 +119,29 @@ def _score(weights: dict[int, float], bias: float):
 def toxicity_scores(docs: DataFrame, labels: DataFrame, n_folds: int = 5, held: int = 0) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted.
 
-    Trained on the toxic rows outside the held-out fold and on a hash sample of the other text. Null
-    and empty texts are scored by the bias alone; repeated rows get equal scores; without a toxic row
-    every score is the prior; other columns are never read; an empty table gives an empty table.
+    Trained on the toxic rows outside the held-out fold and on a hash sample of all text outside it.
+    Null and empty texts are scored by the bias alone; long texts are read whole; repeated rows get
+    equal scores; without a toxic row, or if no document has its id, every score is the prior; other
+    columns are never read; an empty table gives an empty table.
     """
     texts = id_and_bytes(docs)
     known = saved(training_labels(labels, "toxic", n_folds, held), "toxic")
     n, n_pos = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = min(max(n_pos / n, PRIOR[0]), PRIOR[1]) if n_pos else PRIOR[2]
-    weights: dict[int, float] = {}
-    bias = float(np.log(prior / (1 - prior)))
+    used, weights, bias = np.zeros(0, np.uint32), np.zeros(0), float(np.log(prior / (1 - prior)))
     if n_pos:
         n_docs = docs.count()
         # Bounded: MAX_POSITIVE rows, give or take the hash.
         positives = known.where("label = 1").where(share("doc_id", min(1.0, MAX_POSITIVE / n_pos))).select("doc_id", "label")
-        sample = (
-            texts.join(F.broadcast(positives), "doc_id", "left")
-            .where(F.col("label").isNotNull() | (share("doc_id", min(1.0, MAX_UNLABELLED / max(n_docs, 1))) & ~held_out("doc_id", n_folds, held)))
-            .select(F.coalesce("label", F.lit(0)).alias("label"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS if n_pos >= 2000 else 1)).cast("int").alias("part"), "text")
-        )
-        models = (
-            sample.mapInArrow(_hashed, "label int, part int, words binary")
-            .groupBy("part").applyInArrow(_train(prior), "used binary, weights binary, bias double")
-        ).collect()
-        bias = float(np.mean([r["bias"] for r in models]))
-        for r in models:
-            for at, w in zip(np.frombuffer(r["used"], np.uint32).tolist(), np.frombuffer(r["weights"]).tolist()):
-                weights[at] = weights.get(at, 0.0) + w / len(models)
+        hidden = share("doc_id", min(1.0, MAX_UNLABELLED / max(n_docs, 1))) & ~held_out("doc_id", n_folds, held)
+        roles = F.array_compact(F.array(F.col("label"), F.when(F.coalesce(hidden, F.lit(False)), 0)))
+        sample = texts.join(F.broadcast(positives), "doc_id", "left").select(F.explode(roles).alias("label"), "text")
+        # One task holds the bounded sample's features.
+        model = sample.mapInArrow(_hashed, "label int, words binary").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_train(prior), "used binary, weights binary, bias double").first()
+        if model is not None:
+            used, weights, bias = np.frombuffer(model["used"], np.uint32), np.frombuffer(model["weights"]), model["bias"]
     return (
-        texts.mapInArrow(_score(weights, bias), "doc_id long, score double")
+        texts.mapInArrow(_score(used, weights, bias), "doc_id long, score double")
         .select("doc_id", held_out("doc_id", n_folds, held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
     )
 
