@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, id_and_bytes, saved, steps, windows
+from .common import _SPACES, id_and_bytes, saved, steps, windows, word_hashes
 from .labelled import held_out, share, training_labels
 
 #: Labelled rows that a fit uses at most, chosen by a hash of their ids.
@@ -23,23 +23,25 @@ MAX_LABELLED = 200_000
 FEATURES, RIDGE, BINS, FIT_TASKS = 256, 1e-5, 512, 8
 SEED = 11
 
-_HASHES = WordHashes()
-_SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _CLASSES = (
     b"#*$%&|<>", b"!", b".,;:?", bytes(range(65, 91)), b"0123456789", bytes(range(0x80, 0xC0)), _SPACES, b"\n", b"{}[]()=/\\_",
 )
 STATISTICS = 19
 
 
-def statistics(text: bytes) -> np.ndarray:
-    """Statistics of a whole text; all finite, also for the empty text."""
+def statistics(texts: list[bytes]) -> np.ndarray:
+    """A row of statistics for each whole text."""
+    return np.array(list(map(_statistics_of, texts, word_hashes(texts))), np.float64).reshape(-1, STATISTICS)
+
+
+def _statistics_of(text: bytes, h: np.ndarray) -> np.ndarray:
+    """All finite, also for the empty text. h: its words' hashes."""
     words = text.split()
     n, size = len(words), len(text)
     out = np.zeros(STATISTICS)
     out[0], out[1] = np.log1p(n), np.log1p(size)
     if not n:
         return out
-    h = _HASHES.array(words)
     length = np.fromiter(map(len, words), np.int64, n)
     ranked = np.sort(h)
     new = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
@@ -57,12 +59,13 @@ def statistics(text: bytes) -> np.ndarray:
     return out
 
 
-def _statistics(batches):
-    for ids, texts in steps(batches):
-        x = np.array([statistics(t) for t in texts], np.float64).reshape(-1, STATISTICS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATISTICS).cast(pa.list_(pa.float64()))], names=["doc_id", "x"]
-        )
+def _training(batches):
+    for folds, labels, texts in steps(batches):
+        x = statistics(texts)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(folds, pa.int32()), pa.array(labels, pa.int32()),
+            pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATISTICS).cast(pa.list_(pa.float64())),
+        ], names=["fold", "label", "x"])
 
 
 @dataclass
@@ -145,11 +148,16 @@ def _binned(mean, scale, weights, low: float, high: float):
     return run
 
 
-def fit(features: DataFrame, labels: DataFrame) -> Model:
-    """features: (doc_id, x); labels: (doc_id, label 0/1). One class only, or none: a constant score."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """labels: (doc_id, label 0/1), one row for an id. One class only, or none: a constant score.
+
+    At most about MAX_LABELLED labels are used, so they can be broadcast; only labelled texts are
+    measured for the fit.
+    """
     n = labels.count()
-    used = features.join(labels.where(share("doc_id", min(1.0, MAX_LABELLED / max(n, 1)))), "doc_id")
-    rows = saved(used.select((F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))).cast("int").alias("fold"), "label", "x").repartition(FIT_TASKS), "training")
+    used = labels.where(share("doc_id", min(1.0, MAX_LABELLED / max(n, 1))))
+    known = id_and_bytes(docs).join(F.broadcast(used), "doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int").alias("fold"), "label", "text")
+    rows = saved(known.mapInArrow(_training, "fold int, label int, x array<double>").repartition(FIT_TASKS), "training")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     none = np.zeros(0)
     if len(counts) < 2:
@@ -175,9 +183,8 @@ def fit(features: DataFrame, labels: DataFrame) -> Model:
 
 def _score(model: Model):
     def run(batches):
-        for ids, xs in steps(batches, 4096):
-            s = model.score(np.array(xs, np.float64).reshape(-1, STATISTICS))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s)], names=["doc_id", "score"])
+        for ids, texts in steps(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.score(statistics(texts)))], names=["doc_id", "score"])
 
     return run
 
@@ -186,17 +193,34 @@ def quality_scores(docs: DataFrame, labels: DataFrame, n_folds: int = 3, held: i
     """One row per document row: doc_id, held_out, score, predicted.
 
     Fitted on labels outside the held-out fold (label 1: good). Null and empty texts are scored as
-    empty; repeated rows get equal scores; without both labels the score is constant; other columns
-    are never read; an empty table gives an empty table.
+    empty; long texts are measured whole; repeated rows get equal scores; without both labels the
+    score is constant; other columns are never read; an empty table gives an empty table.
     """
-    features = saved(id_and_bytes(docs).mapInArrow(_statistics, "doc_id long, x array<double>"), "statistics")
-    model = fit(features, training_labels(labels, "quality", n_folds, held))
+    model = fit(docs, training_labels(labels, "quality", n_folds, held))
     return (
-        features.mapInArrow(_score(model), "doc_id long, score double")
+        id_and_bytes(docs).mapInArrow(_score(model), "doc_id long, score double")
         .select("doc_id", held_out("doc_id", n_folds, held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
     )
 
 
+def _good(model: Model, text_at: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [(t or "").encode() for t in part.column(text_at).to_pylist()]
+                yield part.filter(pa.array(model.score(statistics(texts)) >= 0.5))
+
+    return run
+
+
+def good(docs: DataFrame, labels: DataFrame, n_folds: int = 3, held: int = 1) -> DataFrame:
+    """The rows of docs that quality_scores() predicts to be good, each judged by itself, with the same
+    columns; null and repeated ids are rows like others."""
+    model = fit(docs, training_labels(labels, "quality", n_folds, held))
+    return docs.mapInArrow(_good(model, docs.columns.index("text")), docs.schema)
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -55,6 +55,79 @@ def test_without_labels_or_documents(tables, scores):
     assert none.count() == 20 and none.select("score").distinct().count() == 1
 
 
+def test_positive_labels_without_documents(tables):
+    """Nothing can be fitted, so every score is the prior, not a gap."""
+    docs, _ = tables
+    labels = docs.sparkSession.createDataFrame([(10_000 + i, 1, int(i < 10)) for i in range(40)], "doc_id long, quality int, toxic int")
+    for scores in (toxicity.toxicity_scores, quality.quality_scores):
+        got = scores(docs, labels)
+        assert got.where("score is null or isnan(score) or score < 0 or score > 1").isEmpty() and got.select("score").distinct().count() == 1
+
+
+@pytest.mark.parametrize("scores", [quality.quality_scores, toxicity.toxicity_scores])
+def test_very_long_text_and_clashing_names(tables, scores):
+    docs, labels = tables
+    extra = docs.sparkSession.createDataFrame([(7000, "vile words " * 100_000, 1)], "doc_id long, text string, held_out int")
+    got = scores(docs.unionByName(extra, allowMissingColumns=True).withColumn("label", F.lit(9)).withColumn("x", F.lit(9)), labels)
+    assert got.where("doc_id = 7000").count() == 1 and got.where("score is null").isEmpty()
+
+
+def test_good_rows_are_those_predicted(tables):
+    docs, labels = tables
+    want = sorted(r[0] for r in quality.quality_scores(docs, labels).where("predicted = 1").select("doc_id").collect())
+    got = quality.good(docs, labels)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_scores_restated_with_numpy(tables):
+    """Ridge weights and isotonic map against the same from all training rows in one place."""
+    docs, labels = tables
+    known = {r["doc_id"]: r["label"] for r in training_labels(labels, "quality", 3, 1).collect()}
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(2)).alias("f")).collect()}
+    train = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in known]
+    x = quality.statistics([(t or "").encode() for _, t in train])
+    y, f = np.array([known[i] for i, _ in train], float), np.array([fold[i] for i, _ in train])
+    mean, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    z = quality.lift(x, mean, scale)
+    eye = np.eye(z.shape[1])
+    ridge = lambda a: np.linalg.solve(z[a].T @ z[a] + quality.RIDGE * a.sum() * eye, z[a].T @ y[a])
+    model = quality.fit(docs, training_labels(labels, "quality", 3, 1))
+    assert np.allclose(z @ model.weights, z @ ridge(np.ones(len(y), bool)), atol=1e-4)
+    raw = np.where(f == 0, z @ ridge(f == 1), z @ ridge(f == 0))
+    at = np.clip(((raw + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    hits, count = np.bincount(at, y, quality.BINS), np.bincount(at, minlength=quality.BINS)
+    some = count > 0
+    knots, values = quality.isotonic(-0.5 + (np.flatnonzero(some) + 0.5) * 2 / quality.BINS, hits[some], count[some].astype(float))
+    grid = np.linspace(-0.4, 1.4, 200)
+    assert np.mean(np.abs(np.interp(grid, knots, values) - np.interp(grid, model.knots, model.values))) < 0.02
+
+
+def test_toxicity_scores_restated(tables):
+    """The query's scores are those of fit() on the same rows, and its steps lower the plain risk."""
+    docs, labels = tables
+    known = {r["doc_id"]: r["label"] for r in training_labels(labels, "toxic", 5, 0).collect()}
+    held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", held_out("doc_id", 5, 0).alias("h")).collect()}
+    data = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    positives = [t for i, t in data if known.get(i) == 1]
+    hidden = [t for i, t in data if not held[i]]
+    x = toxicity.hashed_features([*positives, *hidden])
+    positive = np.arange(len(x)) < len(positives)
+    prior = sum(known.values()) / len(known)
+    used, w, bias = toxicity.fit(x, positive, prior)
+    dense = np.zeros(1 << toxicity.HASH_BITS)
+    dense[used] = w
+    want = {i: 1 / (1 + np.exp(-(dense[f].sum() + bias))) for (i, _), f in zip(data, toxicity.hashed_features([t for _, t in data]))}
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert all(abs(got[i] - s) < 1e-6 for i, s in want.items())
+
+    def risk(z):
+        loss = lambda v: np.logaddexp(0, -v)
+        return prior * loss(z[positive]).mean() + max(0.0, loss(-z[~positive]).mean() - prior * loss(-z[positive]).mean())
+
+    z = np.array([dense[f].sum() + bias for f in x])
+    assert risk(z) < 0.5 * risk(np.full(len(x), np.log(prior / (1 - prior))))
+
+
 @pytest.mark.parametrize("scores, column", [(quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")])
 def test_held_out_labels_are_not_learned_from(tables, scores, column):
     docs, labels = tables
