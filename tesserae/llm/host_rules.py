@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, maybe_broadcast, saved, steps, windows
+from .common import _SPACES, maybe_broadcast, saved, steps, windows, word_hashes
 
 #: Base rules: fewer words than this, or a larger percentage of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT = 50, 50, 3
@@ -19,15 +19,13 @@ MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT = 50, 50, 3
 MAX_HOST_RATE = 0.5
 SYMBOLS = b"#*$%&|<>"
 
-_SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: What isn't the first byte of a code point in a word.
-_NOT_CHAR = _SPACE + bytes(range(0x80, 0xC0))
-_HASHES = WordHashes()
+_NOT_CHAR = _SPACES + bytes(range(0x80, 0xC0))
 
 
-def repeated(words: list[bytes]) -> int:
-    """Words that lie in a 3-word window found twice or more in the text, first included."""
-    w = windows(_HASHES.array(words), REPEAT)
+def repeated(h: np.ndarray) -> int:
+    """Words, by their hashes, in a 3-word window found twice or more in the text, first included."""
+    w = windows(h, REPEAT)
     if not len(w):
         return 0
     ranked = np.sort(w)
@@ -35,25 +33,24 @@ def repeated(words: list[bytes]) -> int:
     if not same.any():
         return 0
     twice = np.isin(w, ranked[1:][same])
-    cover = np.zeros(len(words), bool)
+    cover = np.zeros(len(h), bool)
     for j in range(REPEAT):
         cover[j : j + len(w)] |= twice
     return int(np.count_nonzero(cover))
 
 
-def measure(text: bytes) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
-    words = text.split()
+def measure(text: bytes, h: np.ndarray) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text with these words' hashes."""
     lines = [x for x in text.split(b"\n") if not x.isspace() and x]
     return (
-        len(words), len(text.translate(None, _NOT_CHAR)), len(text) - len(text.translate(None, SYMBOLS)),
-        len(lines) - len(set(lines)), repeated(words),
+        len(h), len(text.translate(None, _NOT_CHAR)), len(text) - len(text.translate(None, SYMBOLS)),
+        len(lines) - len(set(lines)), repeated(h),
     )
 
 
 def _measured(batches):
     for *keys, texts in steps(batches):
-        m = [measure(t) for t in texts]
+        m = list(map(measure, texts, word_hashes(texts)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.string()), *(pa.array([x[i] for x in m], pa.int64()) for i in range(5))],
             names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
@@ -72,16 +69,25 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 def host_verdicts(measured: DataFrame) -> DataFrame:
     """host, n, failed, rate (shrunk), rejected: one row per host; a null host is a host of its own.
 
-    The beta prior has the hosts' mean rate m and, from the variance v of their rates, strength
-    m (1 - m) / v - 1, at least 1 (and 1 where v is 0 or there is one host). Sums are partial
-    aggregates, so a host of any size meets as one row per task.
+    The beta prior has the corpus's rate m as mean. Its strength comes from how much more the hosts'
+    rates differ than documents drawn alike would make them: with the spread S = sum n (rate - m)^2
+    over k hosts of n documents, N in all, their correlation is
+    r = (S / (m (1 - m)) - (k - 1)) / (N - sum n^2 / N - (k - 1)), and the strength 1 / r - 1. Where
+    hosts differ by no more than chance, or can't tell (one host; one document each), it is N, so
+    each is judged by the corpus. Sums are partial aggregates, so a host of any size meets as one row
+    per task.
     """
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    rate = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    strength = F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0))).otherwise(F.lit(1.0))
+    sums = hosts.agg(
+        F.count("*").alias("k"), F.sum("n").alias("total"), (F.sum("failed") / F.sum("n")).alias("m"),
+        F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("ff"), F.sum((F.col("n") * F.col("n")).cast("double")).alias("nn"),
+    )
+    m, total, k = F.col("m"), F.col("total"), F.col("k")
+    free = total - F.col("nn") / total - (k - 1)
+    excess = F.when((m > 0) & (m < 1) & (free > 1e-9), ((F.col("ff") - m * m * total) / (m * (1 - m)) - (k - 1)) / free)
+    strength = F.when(excess > 1 / (total + 1), 1 / excess - 1).otherwise(total.cast("double"))
     # The prior is one row.
-    return hosts.join(F.broadcast(prior.select("m", strength.alias("strength"))), F.lit(True)).select(
+    return hosts.join(F.broadcast(sums.select("m", F.greatest(strength, F.lit(0.0)).alias("strength"))), F.lit(True)).select(
         "host", "n", "failed", ((F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate")
     ).withColumn("rejected", F.col("rate") > MAX_HOST_RATE)
 
@@ -89,8 +95,9 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document row: doc_id, host, the measures, base_failed, host_rate, kept.
 
-    Null and empty texts have no words and fail; repeated rows count as often as they occur; other
-    columns are ignored; an empty table gives an empty table.
+    Null and empty texts have no words and fail; long texts are measured whole; repeated rows count
+    as often as they occur; a rate of just the limit is kept; other columns are ignored; an empty table
+    gives an empty table.
     """
     measured = saved(measures(docs, id_col, text_col, host_col), "measures")
     verdicts = saved(host_verdicts(measured), "hosts")
@@ -98,6 +105,30 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     return measured.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").withColumn("kept", ~F.col("base_failed") & ~F.col("rejected")).drop("h", "rejected")
 
 
+def _passing(text_at: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [(t or "").encode() for t in part.column(text_at).to_pylist()]
+                m = list(map(measure, texts, word_hashes(texts)))
+                yield part.filter(pa.array([x[0] >= MIN_WORDS and 100 * x[4] <= MAX_REPEAT_PERCENT * x[0] for x in m], pa.bool_()))
+
+    return run
+
+
+def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of docs that judged() keeps, each judged by itself, with the same columns.
+
+    No id is needed, so null and repeated ids are rows like others. Everything else as judged().
+    """
+    measured = measures(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), "id", "text", "host")
+    verdicts = saved(host_verdicts(measured).where("rejected").select("host"), "hosts")
+    bad = maybe_broadcast(verdicts.select(F.col("host").alias("__rejected_host")), verdicts.count())
+    left = docs.join(bad, docs[host_col].cast("string").eqNullSafe(F.col("__rejected_host")), "left_anti")
+    return left.mapInArrow(_passing(docs.columns.index(text_col)), docs.schema)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

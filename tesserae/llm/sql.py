@@ -38,9 +38,12 @@ WITH w AS (
 ), h AS (
   SELECT source, count(*) AS n, sum(base_failed::INT) AS failed FROM f GROUP BY source
 ), p AS (
-  SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM h
+  SELECT count(*) AS k, sum(n) AS total, sum(failed) / sum(n) AS m, sum(failed * failed / n) AS ff, sum((n * n)::DOUBLE) AS nn FROM h
+), e AS (
+  SELECT m, total, CASE WHEN m > 0 AND m < 1 AND total - nn / total - (k - 1) > 1e-9
+    THEN ((ff - m * m * total) / (m * (1 - m)) - (k - 1)) / (total - nn / total - (k - 1)) END AS r FROM p
 ), s AS (
-  SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1) ELSE 1 END AS k FROM p
+  SELECT m, greatest(CASE WHEN r > 1 / (total + 1) THEN 1 / r - 1 ELSE total::DOUBLE END, 0) AS k FROM e
 ), bad AS (
   SELECT source, (failed + m * k) / (n + k) > 0.5 AS bad FROM h, s
 )

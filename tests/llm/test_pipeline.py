@@ -83,6 +83,28 @@ def test_stages_against_plain_versions(spark, tmp_path):
         assert [(s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids)) for s, n, *_ in pieces[i]] == pieces[i] and sum(n for _, n, *_ in pieces[i]) == len(ids)
 
 
+def test_stages_decide_by_row(spark, tmp_path):
+    """Rows without an id, of one id, equal rows and no rows."""
+    make(spark, tmp_path)
+    rng = random.Random(1)
+    text = lambda n=80: " ".join(f"{rng.choice('bdfg')}{rng.choice('aeiou')}n{rng.randrange(500)}" for _ in range(n))
+    a, b, c, d = text(), text(), text(), text(3000)
+    rows = [(None, "two words"), (None, a), (7, "too short"), (7, b), (8, c), (8, c), (9, d), (9, d), (10, b + " end"), (None, None)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, cls int, __row int, spans int"
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t or ""), 1, 2, 3) for i, t in rows], columns)
+    texts = lambda df: sorted((str(r["doc_id"]), r["text"] or "") for r in df.collect())
+    good = sorted((str(i), t) for i, t in rows if t and len(t) > 60)
+    assert texts(corpus_pipeline.rules_stage(spark, docs, str(tmp_path))) == good
+    once = sorted([("None", a), ("7", b), ("8", c), ("9", d), ("None", "two words"), ("7", "too short"), ("None", "")])
+    assert texts(corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))) == once
+    stripped = corpus_pipeline.substring_stage(spark, docs, str(tmp_path))
+    assert texts(stripped) == sorted([("None", "two words"), ("None", a), ("7", "too short"), ("7", ""), ("8", ""), ("8", ""), ("9", ""), ("9", ""), ("10", "end"), ("None", "")])
+    assert stripped.columns == docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns), name
+
+
 def test_run_gives_the_last_stages_rows(spark, tmp_path):
     make(spark, tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
