@@ -246,9 +246,7 @@ def text_bytes(rows: DataFrame) -> int:
     return rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 
-def buckets(rows: DataFrame) -> int:
-    """Buckets for a table with a text column, from its bytes; a few for each shuffle partition, so
-    that those of one task are many and even."""
-    spark = rows.sparkSession
-    by_bytes = min(MAX_BUCKETS, text_bytes(rows) // BUCKET_BYTES + 1)
-    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), by_bytes)
+def buckets(rows: DataFrame, each: int = BUCKET_BYTES) -> int:
+    """Buckets for a table with a text column, from its bytes; one for each shuffle partition at least."""
+    by_bytes = min(MAX_BUCKETS, text_bytes(rows) // each + 1)
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_bytes)
