@@ -17,12 +17,11 @@ import numpy as np
 import regex
 
 #: Pieces in a generation of a worker's memory; forgetting changes no result.
-BOUND = 300_000
-#: A space before any white space: only then can a space not start a match.
-_WIDE = regex.compile(r" (?=\s)|\s $")
-_CUT = regex.compile(r" (?=\S)")
-#: Matches a space and letters as one.
-_LETTERS = r" ?\p{L}+"
+BOUND = 600_000
+_SPACE, _CUT = regex.compile(r"\s"), regex.compile(r" (?=\S)")
+#: Alternatives of a pattern by which a space and letters are one match, and marks behind them another.
+_LETTERS, _MARKS = r" ?\p{L}+", r" ?[^\s\p{L}\p{N}]+"
+_TAIL = ".,;:!?#*$%&()[]{}<>|-_/\\\""
 
 
 def byte_chars() -> list[str]:
@@ -46,6 +45,14 @@ def to_bytes(chars: str) -> bytes:
     return codecs.charmap_encode(chars, "strict", _BYTES)[0]
 
 
+def _packed(tokens) -> bytes:
+    return array("I", [t.id for t in tokens]).tobytes()
+
+
+class _Wide(Exception):
+    """A space stands before white space or the end: only then can it not start a match."""
+
+
 class _Memory(dict):
     """Remembers what make gives for a key; entries of the older generation that are asked for again
     come over to the newer one."""
@@ -70,18 +77,25 @@ class Encoder:
     def __init__(self, model, pattern: str):
         self.model = model
         self.match = regex.compile(pattern).findall
-        self.letters = _LETTERS in pattern.split("|")
+        self.letters = {_LETTERS, _MARKS} <= set(pattern.split("|"))
         self.pieces = _Memory(self._ids)
         self.words = _Memory(self._word)
 
     def _ids(self, piece: str) -> bytes:
         """Ids of one match of the pattern."""
-        return array("I", [t.id for t in self.tokens(piece)]).tobytes()
+        return _packed(self.tokens(piece))
 
     def _word(self, word: str) -> bytes:
-        """Ids of a space and word."""
-        if self.letters and word.isalpha():
-            return self._ids(f" {word}")
+        """Ids of a space and word; _Wide, and nothing is remembered, if white space follows the space."""
+        if not word or _SPACE.match(word):
+            raise _Wide
+        if self.letters:
+            if word.isalpha():
+                # Letters of ASCII are their own characters, and a space's is the 33rd.
+                return self._ids(f" {word}") if not word.isascii() else _packed(self.model.tokenize(_CHARS[32] + word))
+            stem = word.rstrip(_TAIL)
+            if stem.isalpha():
+                return self.words[stem] + self.pieces[word[len(stem) :]]
         return b"".join(map(self.pieces.__getitem__, self.match(f" {word}")))
 
     def tokens(self, piece: str):
@@ -89,9 +103,16 @@ class Encoder:
         return self.model.tokenize(to_chars(piece.encode()))
 
     def encode(self, text: str) -> bytes:
-        first, *rest = _CUT.split(text) if _WIDE.search(text) else text.split(" ")
+        try:
+            return self._joined(text.split(" "))
+        except _Wide:
+            return self._joined(_CUT.split(text))
+
+    def _joined(self, parts: list[str]) -> bytes:
         # A leading space is an empty first piece; every later piece has its space again.
-        return b"".join(map(self.pieces.__getitem__, self.match(first))) + b"".join(map(self.words.__getitem__, rest))
+        first = b"".join(map(self.pieces.__getitem__, self.match(parts[0])))
+        del parts[0]
+        return first + b"".join(map(self.words.__getitem__, parts))
 
 
 @lru_cache(maxsize=4)
