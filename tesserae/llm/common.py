@@ -7,6 +7,7 @@ Words are maximal runs outside space, \\t, \\n, \\v, \\f and \\r, which is exact
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from contextlib import contextmanager
 
@@ -43,6 +44,14 @@ def steps(batches, rows: int = STEP_ROWS):
             yield [c.to_pylist() for c in part.columns]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64) on an array, wrapping."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _powers, buckets, maybe_broadcast, mix, saved, steps, text_bytes, word_hashes
+from .common import _powers, buckets, give_back, maybe_broadcast, mix, saved, steps, text_bytes, word_hashes
 
 #: Words in a window, in a run that can be its anchor, and runs in a window.
 WINDOW, RUN = 35, 16
@@ -193,6 +193,8 @@ def _send(batches, n_buckets: int, n_shards: int, shared):
                 rows.clear()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)], schema=SENT)
+        del window, place, content, back, key, anchor
+        give_back()
 
     for doc, code, texts in steps(batches):
         for i, c, h in zip(doc, code, word_hashes(texts)):
@@ -219,6 +221,7 @@ def _send(batches, n_buckets: int, n_shards: int, shared):
                 words = 0
     if ids:
         yield from flush()
+    give_back()
 
 
 # ---------------------------------------------------------------- the parse
@@ -302,6 +305,7 @@ def _factor(n_buckets: int, n_shards: int):
     """Blocks of one bucket to packed factors; rows of a shard pass through."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         rows = table.to_pylist()
         if rows[0]["bucket"] >= n_buckets:
             return pa.table([pa.array([r["bucket"] - n_buckets for r in rows], pa.int32()), *(pa.array([r[x] for r in rows], pa.binary()) for x in ("ids", "hashes", "owners", "spans"))], schema=SHARDS)
