@@ -78,6 +78,7 @@ def _rows(path: str, pattern: str):
                 out.append((key, len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(data).hexdigest(), int(ends[-1]) if ids else 0, int(split)))
             columns = zip(*out) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ROUND_TRIP)], schema=ROUND_TRIP)
+        encoder.rest()
 
     return run
 

@@ -42,6 +42,7 @@ def steps(batches, rows: int = STEP_ROWS):
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield [c.to_pylist() for c in part.columns]
+    give_back()
 
 
 def give_back() -> None:

@@ -94,6 +94,7 @@ def _pieces(path: str, pattern: str, size: int):
                     n = min(size, total - at)
                     rows.append((key, at, n, zlib.crc32(memoryview(ids)[4 * at : 4 * (at + n)]), total))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, schema=PIECE)
+        encoder.rest()
         give_back()
 
     return run

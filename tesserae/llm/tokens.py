@@ -17,7 +17,7 @@ import numpy as np
 import regex
 
 #: Pieces in a generation of a worker's memory; forgetting changes no result.
-BOUND = 600_000
+BOUND = 350_000
 _SPACE, _CUT = regex.compile(r"\s"), regex.compile(r" (?=\S)")
 #: Alternatives of a pattern by which a space and letters are one match, and marks behind them another.
 _LETTERS, _MARKS = r" ?\p{L}+", r" ?[^\s\p{L}\p{N}]+"
@@ -98,6 +98,10 @@ class Encoder:
                 return self.words[stem] + self.pieces[word[len(stem) :]]
         return b"".join(map(self.pieces.__getitem__, self.match(f" {word}")))
 
+    def rest(self) -> None:
+        """Between tasks only the newer generation is kept."""
+        self.words.older, self.pieces.older = {}, {}
+
     def tokens(self, piece: str):
         """The library's tokens of one match, over its bytes' characters: id, value and offsets."""
         return self.model.tokenize(to_chars(piece.encode()))
