@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import text
 
@@ -20,54 +21,56 @@ PAGE = r"^\s*\d{1,2}\s*/\s*\d{1,2}\s*$"
 
 
 def clean_lines(c: Column | str) -> Column:
-    """array<string>: white space squashed, page numbers dropped, of equal short lines only the first."""
+    """array<string>: white space squashed, page numbers dropped, of equal short lines only the first.
+
+    Lines that may repeat carry their place for a moment, so that distinct() keeps them, and the cost
+    is linear in the lines.
+    """
     raw = F.split(text(c), LINE_END)
     raw = F.when(F.element_at(raw, -1) == "", F.slice(raw, 1, F.greatest(F.size(raw) - 1, F.lit(0)))).otherwise(raw)
     lines = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, "[ \\t\\xa0]+", " "), r"(?U)^\s+|\s+$", ""))
-    repeated = lambda x, i: (x != "") & (F.length(x) < HEADER) & (F.array_position(lines, x) <= i)
-    return F.filter(lines, lambda x, i: ~x.rlike(PAGE) & ~repeated(x, i))
+    once = F.transform(lines, lambda x, i: F.when((x != "") & (F.length(x) < HEADER), x).otherwise(F.concat(x, F.lit("\0"), i)))
+    return F.filter(F.transform(F.array_distinct(once), lambda x: F.regexp_replace(x, r"\x00\d+$", "")), lambda x: ~x.rlike(PAGE))
 
 
-def _paragraphs(lines):
-    """Lines joined up to a blank one, or to a sentence end once there is enough text."""
-    held, size = [], 0
-    for line in [*lines, ""]:
-        if line:
-            held.append(line)
-            size += len(line)
-        if held and (not line or (size > PARAGRAPH_CLOSES and line[-1] in ".:;")):
-            yield " ".join(held)
-            held, size = [], 0
+def _paragraphs(lines) -> list[str]:
+    """Each line belongs to the paragraph that is open; a blank line closes it, and so does a sentence
+    end once the paragraph has enough text."""
+    of_line, chars = [0], 0
+    for line in lines:
+        chars += len(line)
+        closes = line == "" or (chars > PARAGRAPH_CLOSES and line.endswith((".", ":", ";")))
+        of_line.append(of_line[-1] + closes)
+        chars = 0 if closes else chars
+    groups = groupby(zip(of_line, lines), key=itemgetter(0))
+    return [p for p in (" ".join(line for _, line in g if line) for _, g in groups) if p]
 
 
-def _slices(paragraph: str, target: int):
-    """(piece, whether it was cut off a longer paragraph), cut after a sentence near the target."""
-    low, high, most = int(target * 0.6), int(target * 1.4), target * 1.6
-    while len(paragraph) > most:
-        stop = paragraph.rfind(". ", low, high)
-        at = stop + 1 if stop > 0 else target
-        yield paragraph[:at].strip(), True
-        paragraph = paragraph[at:].strip()
-    yield paragraph, False
+def _cuts(paragraph: str, target: int) -> list[str]:
+    """The paragraph in pieces; all but the last are cut off at the last sentence end near the target."""
+    if len(paragraph) <= 1.6 * target:
+        return [paragraph]
+    near, far = int(0.6 * target), int(1.4 * target)
+    before, mark, _ = paragraph[near:far].rpartition(". ")
+    size = near + len(before) + 1 if mark else target
+    return [paragraph[:size].strip(), *_cuts(paragraph[size:].strip(), target)]
 
 
 def passages_of(lines, target: int) -> list[str]:
     """Passages of about target characters from cleaned lines.
 
-    A piece cut off a long paragraph stands alone; whole paragraphs and last pieces are gathered while
-    they fit the target.
+    Pieces cut off a long paragraph are passages by themselves; last pieces and whole paragraphs share
+    a passage as long as they fit the target. Passages of few characters go.
     """
-    out, gathered = [], ""
+    bins: list[list[str]] = [[]]
     for paragraph in _paragraphs(lines):
-        for piece, alone in _slices(paragraph, target):
-            if alone or (gathered and len(gathered) + len(piece) > target):
-                out += [gathered] if gathered else []
-                gathered = ""
-            if alone:
-                out.append(piece)
-            else:
-                gathered = f"{gathered} {piece}".strip()
-    return [p for p in [*out, gathered] if len(p) > PASSAGE_KEEPS]
+        *cut, last = _cuts(paragraph, target)
+        bins += [[piece] for piece in cut] + [[]] * bool(cut)
+        room = target - len(" ".join(bins[-1]))
+        if bins[-1] and len(last) > room:
+            bins.append([])
+        bins[-1] = [*bins[-1], last]
+    return [p for p in map(" ".join, bins) if len(p) > PASSAGE_KEEPS]
 
 
 def passages(lines: Column | str, target: int = TARGETS["decision"]) -> Column:
@@ -87,50 +90,53 @@ def paragraphs_of_text(c: Column | str) -> Column:
 
 
 # What begins a chapter and a topic, and what ends a line of the contents list.
-CHAPTER = re.compile(r"^C[ÁA]P[ÍI]TULO\s+([IVX]+)\s*[-–]?\s*(.*)$", re.I)
-TOPIC = re.compile(r"^(\d+(?:\.\d+)*)\s*[-–]?\s*(?=[A-ZÁÉÍÓÚÂÊÔÃÕÇ])")
-CONTENTS = re.compile(r"[-–]\s*Pg\.?\s*\d+\s*$", re.I)
+CHAPTER = r"(?iu)^C[ÁA]P[ÍI]TULO\s+([IVX]+)\s*[-–]?\s*(.*)$"
+TOPIC = r"^(\d+(?:\.\d+)*)\s*[-–]?\s*(?=[A-ZÁÉÍÓÚÂÊÔÃÕÇ])"
+CONTENTS = r"(?i)[-–]\s*Pg\.?\s*\d+\s*$"
 OPENING, PATH = "Apresentação", " › "
-#: A topic line longer than this has its title glued to the text.
-GLUED, GLUED_TITLE = 200, 120
-
-
-def _heading(rest: str) -> tuple[str, str]:
-    """Title and text of a topic line."""
-    if len(rest) <= GLUED:
-        return rest, ""
-    dash = re.search(r"\s[-–]\s", rest)
-    return (rest[: dash.start()], rest[dash.end() :]) if dash else (rest[:GLUED_TITLE], rest)
-
-
-def topics_of(paragraphs) -> list[tuple[str, str]]:
-    """(title, text) of the topics with text; titles carry the chapter and the parent topics."""
-    found: list[tuple[str, list[str]]] = [(OPENING, [])]
-    chapter, names = OPENING, {}
-    for p in paragraphs:
-        if CONTENTS.search(p) or p.upper() == "SUMÁRIO":
-            continue
-        if c := CHAPTER.match(p):
-            chapter, names = f"CAPÍTULO {c[1].upper()} – {c[2].strip().upper()}".rstrip(" –"), {}
-            found.append((chapter, []))
-        elif t := TOPIC.match(p):
-            title, body = _heading(p[t.end() :])
-            names[t[1]] = f"{t[1]} - {title.strip()}"
-            parents = [name for number, name in names.items() if t[1].startswith(f"{number}.")]
-            found.append((PATH.join((chapter, *parents, names[t[1]])), [body] if body else []))
-        else:
-            found[-1][1].append(p)
-    return [(title, "\n\n".join(body)) for title, body in found if body]
-
-
-def topics(paragraphs: Column | str) -> Column:
-    """array<struct<title, body>> of a guidance document's paragraphs."""
-
-    @F.pandas_udf("array<struct<title:string,body:string>>")
-    def fold(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: [{"title": a, "body": b} for a, b in topics_of(x if x is not None else [])])
+#: A topic line longer than this has its title glued to the text, up to a dash or so many characters.
+GLUED, GLUED_TITLE, GLUED_DASH = 200, 120, r"(?s)^(.*?)\s[-–]\s(.*)$"
 
-    return fold(paragraphs)
+
+def topics(items: DataFrame, paragraphs: str = "paragraphs", key: str = "id") -> DataFrame:
+    """(key, pos, title, body): the sections with text of each guidance document, in order.
+
+    A section begins at a chapter or topic line, and before the first of them. Its title is the path
+    of its chapter, of the topics whose number its own extends, and its own; body joins its paragraphs.
+    Numbers start afresh with each chapter.
+    """
+    p = F.col("p")
+    order = Window.partitionBy(key).orderBy("at")
+    rows = items.select(F.col(key), F.posexplode(paragraphs).alias("at", "p")).where(~p.rlike(CONTENTS) & (F.upper("p") != "SUMÁRIO"))
+    opens = p.rlike(CHAPTER)
+    rows = rows.withColumn("opens", opens).withColumn("number", F.when(opens, "").otherwise(F.regexp_extract("p", TOPIC, 1)))
+    chapter = F.concat(F.lit("CAPÍTULO "), F.upper(F.regexp_extract("p", CHAPTER, 1)), F.lit(" – "), F.upper(F.trim(F.regexp_extract("p", CHAPTER, 2))))
+    rest = F.regexp_replace("p", TOPIC, "")
+    dashed = rest.rlike(GLUED_DASH)
+    title = F.when(F.length(rest) <= GLUED, rest).when(dashed, F.regexp_extract(rest, GLUED_DASH, 1)).otherwise(F.left(rest, F.lit(GLUED_TITLE)))
+    glued = F.when(F.length(rest) > GLUED, F.when(dashed, F.regexp_extract(rest, GLUED_DASH, 2)).otherwise(rest))
+    starts = F.col("opens") | (F.col("number") != "")
+    rows = rows.select(
+        key, "at", "number", F.sum(F.col("opens").cast("int")).over(order).alias("chapter"), F.sum(starts.cast("int")).over(order).alias("section"),
+        F.coalesce(F.last(F.when(F.col("opens"), F.regexp_replace(chapter, "[ –]+$", "")), True).over(order), F.lit(OPENING)).alias("path"),
+        F.when(F.col("number") != "", F.concat("number", F.lit(" - "), F.trim(title))).alias("name"),
+        F.when(F.col("number") != "", glued).when(~F.col("opens"), p).alias("body"),
+    )
+    heads = rows.where("number <> ''")
+    # Every shorter number that a topic's extends, and the latest topic before it in the chapter that bears it.
+    steps = F.split("number", r"\.")
+    above = heads.select(key, "chapter", "section", "at", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "."))).alias("up"), "number").where("up <> number")
+    named = heads.select(F.col(key).alias("k"), F.col("chapter").alias("c"), F.col("number").alias("up"), F.col("at").alias("since"), "name")
+    parents = above.join(named, (above[key] == named["k"]) & (above["chapter"] == named["c"]) & (above["up"] == named["up"]) & (named["since"] < above["at"])).groupBy(
+        above[key], "section", above["up"]
+    ).agg(F.min("since").alias("since"), F.max_by("name", "since").alias("name"))
+    parents = parents.groupBy(key, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("since", "name"))), lambda e: e["name"]), PATH).alias("parents"))
+    sections = rows.groupBy(key, "section").agg(
+        F.first("path").alias("path"), F.max("name").alias("name"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("body").isNotNull(), F.struct("at", "body")))), lambda e: e["body"]).alias("body"),
+    ).where(F.size("body") > 0)
+    out = sections.join(parents, [key, "section"], "left").withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("section")) - 1)
+    return out.select(key, "pos", F.concat_ws(PATH, "path", "parents", "name").alias("title"), F.array_join("body", "\n\n").alias("body"))
 
 
 def explode_passages(items: DataFrame, key: str = "id", array: str = "passages") -> DataFrame:

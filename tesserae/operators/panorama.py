@@ -103,7 +103,7 @@ def offence_candidates(questions: DataFrame, hits: DataFrame, keys: DataFrame, n
     the hits; what scores within the margin of the best stays, one group for each beginning of keys.
     Names are met through their terms, not one by one.
     """
-    asked = questions.select("qid", F.explode(F.array_distinct(terms(column))).alias("term")).where(~F.col("term").isin(list(process_terms()))).join(idf.select("term", "idf"), "term")
+    asked = questions.select("qid", F.explode(F.array_distinct(terms(column))).alias("term")).join(F.broadcast(process_terms(questions.sparkSession)), "term", "left_anti").join(idf.select("term", "idf"), "term")
     total = asked.groupBy("qid").agg(F.sum("idf").alias("total_idf"))
     named = names.select("key", F.explode(F.array_distinct(terms("name"))).alias("term"))
     covered = asked.join(named, "term").groupBy("qid", "key").agg(F.sum("idf").alias("common")).join(total, "qid").select("qid", "key", (F.col("common") / F.col("total_idf")).alias("coverage"))

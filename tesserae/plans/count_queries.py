@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import index as I, panorama as P
-from ..functions.text import process_terms, terms
+from ..functions.text import PROCESS_WORDS, terms
 from . import sql as S
 from .corpus import key_names, order_keys, orders, table
 
@@ -115,7 +115,7 @@ FROM t JOIN ins USING (rid) JOIN ys USING (rid) JOIN l USING (rid)""",
     "offence_share": f"WITH {_CHOSEN}, {_HITS}, {_SHARE} SELECT qid, key, round(share, 6) AS share FROM share",
     "offence_candidates": f"""WITH {_CHOSEN}, {_HITS}, {_KEYN}, {_SHARE}, {S.index("SELECT p_partkey AS id, " + S.terms('p_name') + " AS t FROM part")},
 qt AS (SELECT qid, unnest(list_distinct({S.terms("'o auto sobre ' || p_name || ' foi anulado?'")})) AS term FROM qn),
-asked AS (SELECT qid, term, idf FROM qt JOIN terms USING (term) WHERE term NOT IN ({', '.join(map(S.quoted, process_terms()))})),
+asked AS (SELECT qid, term, idf FROM qt JOIN terms USING (term) WHERE term NOT IN (SELECT unnest({S.terms(S.quoted(PROCESS_WORDS))}))),
 nt AS (SELECT key, unnest(list_distinct({S.terms('name')})) AS term FROM names),
 cov AS (SELECT a.qid, nt.key, sum(idf) / any_value(t) AS coverage FROM asked a JOIN nt USING (term) JOIN (SELECT qid, sum(idf) AS t FROM asked GROUP BY qid) tt ON tt.qid = a.qid GROUP BY ALL),
 b AS (SELECT qid, key, coalesce(coverage, 0) AS c, coalesce(share, 0) AS s FROM cov FULL JOIN share USING (qid, key)),

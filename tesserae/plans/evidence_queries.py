@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..functions import extract as X
 from ..functions.text import terms
 from ..operators import answer, chunk, evidence as E, search
 from . import sql as S
@@ -62,18 +63,23 @@ def _plan_rows(spark, sf_dir):
     items = docs.select("id", F.concat(F.lit("d"), "id").alias("file_id"), F.array_distinct(terms("text")).alias("present"))
     found = search.coverage(ix, plain, items, 1)
     cut = docs.select("id", chunk.passages(chunk.clean_lines("text")).alias("passages"))
+    # Three passages of each long text are chosen by the question's terms, as for decisions.
+    sized = found.join(cut, "id").select("qid", "id", F.size("passages").alias("n_passages"), F.lit(-1).alias("reasoning"))
+    pieces = cut.select("id", F.posexplode("passages").alias("pos", "passage"))
+    three = E.best_passages(sized, pieces, plain, ix.terms, 3).withColumnRenamed("passages", "best")
+    asked = q.select("qid", X.asks_opinion("question").alias("asked"))
     gate = (F.col("coverage") >= E.COVERAGE) & (F.col("strength") >= E.STRENGTH)
-    guidance = found.where(gate).join(cut, "id").select(
+    guidance = found.where(gate).join(cut, "id").join(three, ["qid", "id"], "left").select(
         "qid", F.lit(1).alias("ord"), F.lit("guidance").alias("kind"), F.col("id").cast("string").alias("ref"),
-        E.whole_or_best(F.col("passages"), F.slice("passages", 1, 3), E.Limits.guidance_chars).alias("passages"), F.lit("entendimento").alias("reason"),
+        E.whole_or_best(F.col("passages"), F.col("best"), E.Limits.guidance_chars).alias("passages"), F.lit("entendimento").alias("reason"),
     )
-    opinion = found.where(E.opinion_gate(F.col("coverage"), F.lit(False))).join(cut, "id").select(
+    opinion = found.join(asked, "qid").where(E.opinion_gate(F.col("coverage"), F.col("asked"))).join(cut, "id").select(
         "qid", F.lit(1).alias("ord"), F.lit("opinion").alias("kind"), F.col("id").cast("string").alias("ref"),
         F.array(F.left(F.get("passages", F.lit(0)), F.lit(E.Limits.opinion_chars))).alias("passages"), F.lit("parecer").alias("reason"),
     )
     hits = search.rank(search.bm25(ix, search.query_terms(q)), E.Limits.decisions).join(cut, "id")
     chosen = hits.select("qid", "id", "rank", F.size("passages").alias("n_passages"), F.lit(-1).alias("reasoning"))
-    best = E.best_passages(chosen, cut.select("id", F.posexplode("passages").alias("pos", "passage")), search.query_terms(q), ix.terms, E.Limits.decision_passages)
+    best = E.best_passages(chosen, pieces, search.query_terms(q), ix.terms, E.Limits.decision_passages)
     decisions = chosen.join(best, ["qid", "id"]).select(
         "qid", F.col("rank").alias("ord"), F.lit("decision").alias("kind"), F.col("id").cast("string").alias("ref"),
         E.budget(F.col("passages"), E.Limits.decision_chars, F.lit("")).alias("passages"), F.lit("").alias("reason"),

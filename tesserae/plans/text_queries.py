@@ -92,7 +92,7 @@ def _topics(spark, sf_dir):
     half = F.floor(F.size(lines) / 2)
     marked = F.flatten(F.transform(lines, lambda x, i: F.array(
         F.when(i == 0, "CAPÍTULO I - GERAL").when(i == half, "CAPÍTULO II – ESPECIAL").otherwise("Sumário - Pg. 3"), F.concat((i % 3 + 1).cast("string"), F.lit(" - "), x), F.concat((i % 3 + 1).cast("string"), F.lit(".1 - "), x), x)))
-    return spread(documents(spark, sf_dir)).select("id", F.posexplode(chunk.topics(marked)).alias("pos", "t")).select("id", "pos", "t.title", "t.body")
+    return chunk.topics(spread(documents(spark, sf_dir)).select("id", marked.alias("paragraphs")))
 
 
 def _struck(spark, sf_dir):

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-import html
 import io
-import re
 import zipfile
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Paragraphs and text runs of the document's XML.
-PARAGRAPH, RUN = re.compile(r"<w:p[ >].*?</w:p>", re.S), re.compile(r"<w:t(?: [^>]*)?>([^<]*)</w:t>")
+# Fixed value: the namespace of a document's paragraphs and text runs.
+WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def paragraphs_of_docx(data: bytes) -> list[str]:
     """Squashed texts of the paragraphs that have any."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        xml = z.read("word/document.xml").decode()
-    found = (" ".join(html.unescape("".join(RUN.findall(p))).split()) for p in PARAGRAPH.findall(xml))
-    return [p for p in found if p]
+    with zipfile.ZipFile(io.BytesIO(data)) as z, z.open("word/document.xml") as f:
+        out = []
+        for _, element in ElementTree.iterparse(f):
+            if element.tag == f"{WORD}p":
+                runs = [t.text or "" for t in element.iter(f"{WORD}t")]
+                out.append(" ".join("".join(runs).split()))
+                element.clear()
+    return list(filter(None, out))
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +34,7 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
         def one(data):
             try:
                 return paragraphs_of_docx(data)
-            except (zipfile.BadZipFile, KeyError):
+            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
                 return []
 
         return content.map(one)

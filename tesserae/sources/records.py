@@ -103,8 +103,10 @@ def guidance(raw: DataFrame, override: DataFrame | None = None) -> DataFrame:
     if override is None:
         own = raw.where(text("nome_arquivo").rlike(GUIDANCE_NAME) & F.col("nome_arquivo").contains(GUIDANCE_YEAR))
         override = own.agg(F.max_by(F.struct("texto", "drive_view_url"), "id").alias("d")).where("d is not null").select(paragraphs_of_text("d.texto").alias("paragraphs"), text("d.drive_view_url").alias("link"))
-    rows = override.select("link", F.posexplode(topics("paragraphs")).alias("id", "t"))
-    rows = rows.select(F.col("id").cast("long").alias("id"), F.concat(F.lit("guidance#"), "id").alias("file_id"), F.lit("guidance").alias("kind"), F.col("t.title").alias("title"), "link", passages(clean_lines("t.body"), TARGETS["guidance"]).alias("passages"))
+    # The current document is one row.
+    override = override.withColumn("document", F.lit(0))
+    rows = topics(override, key="document").join(F.broadcast(override.select("document", "link").limit(1)), "document")
+    rows = rows.select(F.col("pos").cast("long").alias("id"), F.concat(F.lit("guidance#"), "pos").alias("file_id"), F.lit("guidance").alias("kind"), "title", "link", passages(clean_lines("body"), TARGETS["guidance"]).alias("passages"))
     own_name = F.element_at(F.split("title", " › "), -1)
     return rows.withColumn("terms", terms(F.concat_ws(" ", own_name, "title", F.array_join("passages", " "))))
 

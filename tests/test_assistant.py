@@ -44,9 +44,8 @@ def test_plan_in_order_of_authority(spark, corpus):
     kinds = [r["kind"] for r in by[0]]
     assert kinds == ["guidance", "statute", "opinion", *["decision"] * 5, "panorama"] and [r["number"] for r in by[0]] == list(range(1, 10))
     assert by[0][-1]["passages"][0].splitlines()[1].startswith("Total de decisões no acervo: 5 (")
-    assert by[1][0]["kind"] in ("guidance", "statute") or by[1][0]["ref"] == "2"
     cited = next(r for r in by[1] if r["reason"] == "citada na pergunta")
-    assert cited["ref"] == "2" and cited["passages"][0].startswith("DO MÉRITO") or "MÉRITO" in cited["passages"][0]
+    assert cited["ref"] == "2" and "MÉRITO" in cited["passages"][0]
     assert by[2][-1]["kind"] == "panorama" and "todas (acervo inteiro)" in by[2][-1]["passages"][0] and "2ª instância: 2" in by[2][-1]["passages"][0]
     checked = {r["qid"]: r for r in answer.answers(spark.createDataFrame(plan, df.schema), q).collect()}
     assert checked[0]["cited"] == list(range(1, 10)) and not checked[0]["invalid"]

@@ -10,7 +10,7 @@ from tesserae.functions import citations as C, extract as X, text as T
 
 def test_terms(value):
     assert value(T.terms, "Cadeiras e MESAS no passeio") == ["cadeira", "mesa", "passeio"]
-    assert value(T.terms, "2025s 1234s avós às ônibus") == ["2025", "1234", "avos", "onibu"] or value(T.terms, "ônibus") == ["onibu"]
+    assert value(T.terms, "2025s 1234s avós às ônibus") == ["2025", "1234", "avos", "onibu"]
     assert value(T.terms, None) == []
 
 
@@ -28,10 +28,10 @@ def test_normalisation_drops_ordinals_and_dashes(value):
 @given(st.lists(st.text(st.characters(codec="utf-8", exclude_characters="\x00"), max_size=30), min_size=1, max_size=20))
 def test_normalize_equals_its_definition(spark, texts):
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.normalize("t")).collect()]
-    assert got == ["".join(c for c in unicodedata.normalize("NFD", t.lower()) if c < "\x80") for t in texts] or all(
-        # Characters that the two languages lower differently have no ASCII letter to differ in.
-        g.isascii() for g in got
-    )
+    assert all(g.isascii() for g in got)
+    # Characters that the two languages lower differently lie beyond the accented Latin letters.
+    plain = [(g, t) for g, t in zip(got, texts) if all(ord(c) < 0x250 and c != "İ" for c in t)]
+    assert [g for g, _ in plain] == ["".join(c for c in unicodedata.normalize("NFD", t.lower()) if c < "\x80") for _, t in plain]
 
 
 def test_keys_and_display(value):
