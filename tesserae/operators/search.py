@@ -27,8 +27,8 @@ def query_terms(questions: DataFrame, column: str = "question", expanded: bool =
 
 
 def bm25(index: Index, qterms: DataFrame) -> DataFrame:
-    """(qid, id, score): the sum of the weights of the question's terms. The join's condition reaches
-    the postings by dynamic pruning where they are stored by term."""
+    """(qid, id, score): the sum of the weights of the question's terms, by a join on the
+    term; sorted files spare a reader row groups only where the question's terms are literals."""
     return index.postings.join(qterms, "term").groupBy("qid", "id").agg(F.round(F.sum("weight"), DIGITS).alias("score"))
 
 
