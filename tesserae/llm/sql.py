@@ -6,11 +6,13 @@ ORACLES: dict[str, str] = {
     "op1_chat_snapshots": """
 WITH t AS (
   SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), u AS (
+  SELECT conv_id, turn, list({'r': role, 'x': text} ORDER BY role, text) AS l FROM t GROUP BY conv_id, turn
 ), c AS (
-  SELECT conv_id, list({'t': turn, 'r': role, 'x': text} ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id
+  SELECT conv_id, list({'t': turn, 'l': l} ORDER BY turn) AS l, sum(len(l))::BIGINT AS n_turns FROM u GROUP BY conv_id
 ), kept AS (
-  SELECT conv_id, len(l) AS n_turns FROM c WHERE NOT EXISTS (
-    SELECT 1 FROM c AS d WHERE d.l[1].x = c.l[1].x
+  SELECT conv_id, n_turns FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c AS d WHERE d.l[1] = c.l[1]
       AND ((len(d.l) > len(c.l) AND d.l[1:len(c.l)] = c.l) OR (d.l = c.l AND d.conv_id < c.conv_id)))
 )
 SELECT conv_id, turn, n_turns, concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)) AS rendered

@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 from tesserae.llm.common import word_hashes
 from tesserae.llm import byte_bpe, chat, host_rules, order_minhash, packing, tokens, warc
 from tesserae.llm.common import owned, saved, scratch_root
+from tesserae.llm.sql import ORACLES
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -264,6 +266,22 @@ def test_long_conversations_chain_their_blocks(spark, monkeypatch):
     assert {(r["conv_id"], r["n_turns"]) for r in got.collect()} == {(1, 11), (3, 7)}
 
 
+def test_rows_that_share_a_turn_are_one_turn(spark, tmp_path, monkeypatch):
+    """3 is a prefix of 4; 1 holds some rows of 2's last turn and stays. Checked against SQL too."""
+    data = [(1, 0, "user", "x"), (1, 1, "user", "y"), (2, 0, "user", "x"), (2, 1, "user", "y"), (2, 1, "user", "z")]
+    data += [(c, i, "user", f"{i}{v}") for c, n in ((3, 2), (4, 3)) for i in range(n) for v in "ab"] * 2
+    data += [(5, None, "user", "long " * 50_000), (6, None, "user", "long " * 50_000), (6, 2, None, None)]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    df = spark.read.parquet(f"{tmp_path}/conversations.parquet")
+    for limit in (chat.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(chat, "BROADCAST_ROWS", limit)
+        got = sorted(map(tuple, chat.collapse(df).collect()))
+        assert {(r[0], r[2]) for r in got} == {(1, 2), (2, 3), (4, 6), (6, 2)}
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        assert got == sorted(duck.sql(ORACLES["op1_chat_snapshots"]).fetchall())
+
+
 # ------------------------------------------------------------------ hosts, packing, order, scratch
 
 
