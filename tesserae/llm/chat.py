@@ -67,7 +67,7 @@ def maximal_conversations(rows: DataFrame) -> DataFrame:
     only some of another's rows of a turn is no snapshot of it. The last turn and the number of rows
     of a conversation come from one aggregate over its prefixes.
     """
-    rolled = prefix_hashes(rows)
+    rolled = saved(prefix_hashes(rows), "prefixes")
     ends = rolled.groupBy("conv_id").agg(F.max_by(F.struct("p", "q"), "turn").alias("h"), F.sum("n_turns").alias("n_turns"))
     whole = ends.groupBy("h.p", "h.q").agg(F.min("conv_id").alias("conv_id"), F.first("n_turns").alias("n_turns"))
     # Equal conversations hold the hash once each as their end; a proper prefix adds to that.
