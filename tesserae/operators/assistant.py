@@ -65,8 +65,7 @@ def retrieve(corpus: Corpus, asked: DataFrame, filters: DataFrame, k: int) -> Da
     """(qid, id, rank, score): decision, best-passage and vector lists of the query, fused."""
     q = search.query_terms(asked, "query")
     whole = search.bm25(corpus.index, q)
-    owner = corpus.passages.select(F.struct("id", "pos").alias("id"), F.col("id").alias("item"))
-    lists = [whole, search.best_passage(search.bm25(corpus.passage_index, q), owner)]
+    lists = [whole, search.best_passage(search.bm25(corpus.passage_index, q), F.col("id.id"))]
     if corpus.encoder:
         words, docs = corpus.encoder
         lists.append(vector.nearest(docs, vector.encode_questions(asked, words, "query"), search.DEPTH).select("qid", "id", "score"))

@@ -15,11 +15,23 @@ VERSION = 1
 
 @dataclass
 class Index:
-    """postings (term, id, weight), terms (term, df, idf), stats (n_docs, avg_len); one corpus."""
+    """postings (term, id, weight), terms (term, df, idf), stats (n_docs, avg_len); one corpus.
+
+    source: the (id, terms) that an index which isn't stored is built from.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    source: DataFrame | None = None
+
+    def of_terms(self, qterms: DataFrame) -> Index:
+        """The same index for the terms in qterms only. What isn't stored is built for these alone: other
+        terms go before they are counted, so the shuffles grow with the questions' postings."""
+        wanted = qterms.select("term").distinct()
+        if self.source is not None:
+            return _weighted(self.source, self.stats, wanted)
+        return Index(self.postings.join(wanted, "term", "left_semi"), self.terms.join(wanted, "term", "left_semi"), self.stats)
 
     def write(self, path: str) -> None:
         """postings are sorted by term within files, so a query reads only its terms' row groups."""
@@ -29,14 +41,22 @@ class Index:
 
 
 def build(items: DataFrame, terms_col: str = "terms", id_col: str = "id") -> Index:
-    """items: (id, terms array). Documents without terms count in the number and average length.
+    """items: (id, terms array). Documents without terms count in the number and average length."""
+    sized = items.select(F.col(id_col).alias("id"), F.col(terms_col).alias("terms"))
+    stats = sized.agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.size("terms")), F.lit(LEAST_AVERAGE)).alias("avg_len"))
+    return _weighted(sized, stats)
+
+
+def _weighted(sized: DataFrame, stats: DataFrame, wanted: DataFrame | None = None) -> Index:
+    """The index of (id, terms), of the wanted terms if these are given.
 
     Term counts, document frequencies and totals are partial aggregates. The one row of statistics is
     broadcast; the vocabulary is joined by term, where Spark may broadcast it by its size.
     """
-    sized = items.select(F.col(id_col).alias("id"), F.col(terms_col).alias("terms"))
-    stats = sized.agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.size("terms")), F.lit(LEAST_AVERAGE)).alias("avg_len"))
-    counted = sized.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    held = sized.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    if wanted is not None:
+        held = held.join(wanted, "term", "left_semi")
+    counted = held.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"))
@@ -45,7 +65,7 @@ def build(items: DataFrame, terms_col: str = "terms", id_col: str = "id") -> Ind
         counted.join(terms, "term").crossJoin(F.broadcast(stats))
         .select("term", "id", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm) * F.col("idf")).alias("weight"))
     )
-    return Index(postings, terms, stats)
+    return Index(postings, terms, stats, sized)
 
 
 def read(spark: SparkSession, path: str) -> Index:

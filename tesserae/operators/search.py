@@ -29,17 +29,19 @@ def query_terms(questions: DataFrame, column: str = "question", expanded: bool =
 def bm25(index: Index, qterms: DataFrame) -> DataFrame:
     """(qid, id, score): the sum of the weights of the question's terms, by a join on the
     term; sorted files spare a reader row groups only where the question's terms are literals."""
-    return index.postings.join(qterms, "term").groupBy("qid", "id").agg(F.round(F.sum("weight"), DIGITS).alias("score"))
+    return index.of_terms(qterms).postings.join(qterms, "term").groupBy("qid", "id").agg(F.round(F.sum("weight"), DIGITS).alias("score"))
 
 
 def query_idf(index: Index, qterms: DataFrame) -> DataFrame:
     """(qid, total_idf) over the known terms."""
-    return index.terms.join(qterms, "term").groupBy("qid").agg(F.sum("idf").alias("total_idf"))
+    return index.of_terms(qterms).terms.join(qterms, "term").groupBy("qid").agg(F.sum("idf").alias("total_idf"))
 
 
-def best_passage(scores: DataFrame, owner: DataFrame) -> DataFrame:
-    """(qid, id, score): each item's best passage, 0 at least. owner: (passage id as id, item)."""
-    return scores.join(owner, "id").groupBy("qid", "item").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score")).withColumnRenamed("item", "id")
+def best_passage(scores: DataFrame, owner: DataFrame | Column) -> DataFrame:
+    """(qid, id, score): each item's best passage, 0 at least. owner: (passage id as id, item), or the
+    item as an expression of the passage's id, which spares the join."""
+    named = scores.withColumn("item", owner) if isinstance(owner, Column) else scores.join(owner, "id")
+    return named.groupBy("qid", "item").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score")).withColumnRenamed("item", "id")
 
 
 def rank(scores: DataFrame, depth: int, score: str = "score") -> DataFrame:
@@ -113,9 +115,10 @@ def coverage(index: Index, qterms: DataFrame, items: DataFrame, k: int) -> DataF
     first = Window.partitionBy("qid", "file_id").orderBy("rank")
     pool = pool.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     pool = pool.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("rank") <= k)
-    known = index.terms.join(qterms, "term").select("qid", "term", "idf")
+    known = index.of_terms(qterms).terms.join(qterms, "term").select("qid", "term", "idf")
+    total = known.groupBy("qid").agg(F.sum("idf").alias("total_idf"))
     return (
-        pool.join(known, "qid").join(query_idf(index, qterms), "qid")
+        pool.join(known, "qid").join(total, "qid")
         .groupBy("qid", "id", "rank", "score", "total_idf")
         .agg(F.sum(F.when(F.array_contains("present", F.col("term")), F.col("idf")).otherwise(0.0)).alias("covered"))
         .select("qid", "id", (F.col("covered") / F.col("total_idf")).alias("coverage"), (F.col("score") / F.col("total_idf")).alias("strength"), "rank")

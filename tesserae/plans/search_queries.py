@@ -30,8 +30,7 @@ def _line_scores(spark, sf_dir, qterms):
     """Best line of each document: lines stand for passages, so that SQL can cut them too."""
     lines = spread(documents(spark, sf_dir)).select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     passages = lines.select(F.struct("id", "pos").alias("id"), terms("line").alias("terms"))
-    scores = search.bm25(I.build(passages), qterms)
-    return search.best_passage(scores, lines.select(F.struct("id", "pos").alias("id"), F.col("id").alias("item")))
+    return search.best_passage(search.bm25(I.build(passages), qterms), F.col("id.id"))
 
 
 def _passage_max(spark, sf_dir):
@@ -160,7 +159,7 @@ _PASSAGE = "pm AS (SELECT qid, id // 1000000 AS id, greatest(max(score), 0) AS s
 _TOP = f"SELECT qid, id, rank, round(score / max(score) OVER (PARTITION BY qid), 6) AS score FROM (SELECT * FROM {S.ranked('fused', K)})"
 _FUSED = "fused AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 12) AS score FROM ({}) GROUP BY ALL)"
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings)"
-_GOLD = f"g AS (SELECT r.qid, r.id FROM {S.ranked('bm', 50)} r JOIN benchmark ON item_id = r.qid JOIN documents ON doc_id = r.id WHERE contains(documents.text, benchmark.text))"
+_GOLD = r"g AS (SELECT item_id AS qid, doc_id AS id FROM benchmark, documents WHERE regexp_matches(benchmark.text, '\S') AND contains(documents.text, benchmark.text))"
 ORACLES = {
     "search_bm25": f"""WITH {_INDEX}, q AS (SELECT 0 AS qid, unnest(list_distinct({S.terms(S.expand("'the thing that was ering over and under'"))})) AS term), {S.BM25}
 SELECT id, round(score, 6) AS score, rank FROM {S.ranked('bm', K)}""",
