@@ -42,7 +42,7 @@ def _chosen(spark, sf_dir):
 def _best(spark, sf_dir):
     passages = _lines(spark, sf_dir).select("id", F.posexplode("passages").alias("pos", "passage"))
     q = search.query_terms(questions(spark, sf_dir))
-    return E.best_passages(_chosen(spark, sf_dir), passages, q, index(spark, sf_dir).of_terms(q).terms, 2)
+    return E.best_passages(_chosen(spark, sf_dir), passages, q, index(spark, sf_dir).terms, 2)
 
 
 def _best_passages(spark, sf_dir):
@@ -66,7 +66,7 @@ def _plan_rows(spark, sf_dir):
     # Three passages of each long text are chosen by the question's terms, as for decisions.
     sized = found.join(cut, "id").select("qid", "id", F.size("passages").alias("n_passages"), F.lit(-1).alias("reasoning"))
     pieces = cut.select("id", F.posexplode("passages").alias("pos", "passage"))
-    three = E.best_passages(sized, pieces, plain, ix.of_terms(plain).terms, 3).withColumnRenamed("passages", "best")
+    three = E.best_passages(sized, pieces, plain, ix.terms, 3).withColumnRenamed("passages", "best")
     asked = q.select("qid", X.asks_opinion("question").alias("asked"))
     gate = (F.col("coverage") >= E.COVERAGE) & (F.col("strength") >= E.STRENGTH)
     guidance = found.where(gate).join(cut, "id").join(three, ["qid", "id"], "left").select(
@@ -80,7 +80,7 @@ def _plan_rows(spark, sf_dir):
     hits = search.rank(search.bm25(ix, search.query_terms(q)), E.Limits.decisions).join(cut, "id")
     chosen = hits.select("qid", "id", "rank", F.size("passages").alias("n_passages"), F.lit(-1).alias("reasoning"))
     wide = search.query_terms(q)
-    best = E.best_passages(chosen, pieces, wide, ix.of_terms(wide).terms, E.Limits.decision_passages)
+    best = E.best_passages(chosen, pieces, wide, ix.terms, E.Limits.decision_passages)
     decisions = chosen.join(best, ["qid", "id"]).select(
         "qid", F.col("rank").alias("ord"), F.lit("decision").alias("kind"), F.col("id").cast("string").alias("ref"),
         E.budget(F.col("passages"), E.Limits.decision_chars, F.lit("")).alias("passages"), F.lit("").alias("reason"),
