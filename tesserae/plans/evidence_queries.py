@@ -120,4 +120,8 @@ met AS (SELECT r.qid, lt.id, lt.pos, sum(idf) AS idf FROM {S.ranked('bm', 3)} r
 n AS (SELECT qid, id, pos, line, idf * CASE WHEN id % 2 = 0 THEN CASE WHEN pos >= 1 THEN 1.6 ELSE 1.0 END ELSE 1 + 0.5 * pos / np END AS note FROM met JOIN ln USING (id, pos)),
 k AS (SELECT * FROM n WHERE note > 0 QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY note DESC, pos DESC) <= 2)
 SELECT qid, id, string_agg(line, chr(10) ORDER BY pos) AS passages FROM k GROUP BY qid, id""",
+    "passage_budget": """WITH ln AS (SELECT doc_id AS id, unnest(s) AS line, generate_subscripts(s, 1) AS i, left(s[-1], 80) AS mark FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+a AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM ln WHERE mark = '' OR NOT contains(line, mark)),
+b AS (SELECT id, count(*)::INT AS n, sum(length(left(line, greatest(200, 600 - used)::BIGINT)))::INT AS chars FROM a WHERE used < 600 GROUP BY id)
+SELECT doc_id AS id, coalesce(n, 0) AS n, coalesce(chars, 0) AS chars FROM documents LEFT JOIN b ON id = doc_id""",
 }

@@ -129,6 +129,7 @@ QUERIES = {
 
 _WINDOW = rf"regexp_extract(upper({S.norm('t')}), '(?s)^.*(DISPOSITIVO DA DECIS.{{0,680}})', 1)"
 _CODE = "CASE " + " ".join(f"WHEN regexp_matches({_WINDOW}, {S.quoted(p)}) THEN {c}" for c, p in X.OUTCOME_PATTERNS) + " ELSE 0 END"
+_OPERATIVE = X.OPERATIVE.replace("(?iu)", "(?i)")
 _HEAD = r"regexp_extract(left(t, 1500), '(?i)SESS[ÃA]O[^\n]{0,60}?(\d{2})/(\d{2})/(20\d{2})', "
 ORACLES = {
     "normalize_text": f"SELECT doc_id, {S.norm('text')} AS plain FROM documents",
@@ -145,6 +146,11 @@ ORACLES = {
     "extract_dates": f"""SELECT doc_id, CASE WHEN y <= '2030' THEN y || '-' || m || '-' || d ELSE '2024-03-03' END AS session, (doc_id % 5 + 1)::VARCHAR AS panel
 FROM (SELECT doc_id, {_HEAD}3) AS y, {_HEAD}2) AS m, {_HEAD}1) AS d FROM ({_SQL_DECISION}))""",
     "clean_subject": r"""SELECT doc_id, left(trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)(\bAUTUADO\(S\)|\bCPF/CNPJ|\bREPRESENTANTE).*$', ''), '^\s*\d{2}\.[\d./_-]+\s*', ''), '\s+', ' ', 'g')), 300) AS subject FROM documents""",
+    "operative_part": rf"""
+WITH m AS (SELECT doc_id, t, length(regexp_extract(t, {S.quoted('(?s)^(.*)(?:' + _OPERATIVE + ')')}, 1)) AS before, regexp_matches(t, {S.quoted(_OPERATIVE)}) AS found FROM ({_SQL_DECISION})),
+p AS (SELECT doc_id, trim(regexp_replace(substr(t, (CASE WHEN found AND before > length(t) * 0.4 THEN before ELSE greatest(length(t) - 700, 0) END) + 1, 900), '[\s\x0b\x{{85}}\p{{Z}}]+', ' ', 'g')) AS part FROM m),
+s AS (SELECT *, length(regexp_extract(part, {S.quoted('(?s)^(.*?)(?:' + X.SIGNATURE + ')')}, 1)) AS sign FROM p)
+SELECT doc_id, CASE WHEN regexp_matches(part, {S.quoted(X.SIGNATURE)}) AND sign > 40 THEN trim(left(part, sign)) ELSE part END AS operative FROM s""",
     "question_filters": f"""SELECT qid, item_id, CASE WHEN qid IN (0, 4) THEN '2ª' WHEN qid = 1 THEN '1ª' END AS instance,
 CASE qid WHEN 0 THEN '2024' WHEN 1 THEN '2019' END AS year FROM {_SQL_ASKED}, benchmark""",
     "provision_citations": """
