@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import extract as X
 from ..functions.text import terms
 from ..sources.records import articles, offence_names, reference_ids
+from ..sources.stored import stored
 from . import evidence as E, index as I, panorama as P, search, vector
 
 
@@ -17,8 +18,8 @@ from . import evidence as E, index as I, panorama as P, search, vector
 class Corpus:
     """Item rows as the sources give them; any but decisions may be missing.
 
-    encoder: (terms, docs) of binary.read_encoder(). Indexes are built once per object; give stored
-    ones (index.load_or_build) as decision_index to read postings instead of building them.
+    encoder: (terms, docs) of binary.read_encoder(). Items (kept) and indexes are written to the shared
+    folder once per object, as every tier reads them; give a stored index (index.load_or_build) as decision_index.
     """
 
     decisions: DataFrame
@@ -28,6 +29,16 @@ class Corpus:
     encoder: tuple[DataFrame, DataFrame] | None = None
     decision_index: I.Index | None = None
 
+    @cached_property
+    def kept(self) -> Corpus:
+        """The same corpus over stored items."""
+        side = lambda x: None if x is None else stored(x)
+        return Corpus(stored(self.decisions), side(self.guidance), side(self.statutes), side(self.opinions), self.encoder, self.decision_index)
+
+    @cached_property
+    def _sides(self) -> dict[str, tuple[DataFrame, I.Index]]:
+        return {}
+
     @cached_property
     def index(self) -> I.Index:
         return self.decision_index or _kept(I.build(self.decisions))
@@ -49,16 +60,19 @@ class Corpus:
         items = getattr(self, name)
         if items is None:
             return None
+        if name in self._sides:
+            return self._sides[name]
         if "id" not in items.columns:
             items = items.withColumnRenamed("at", "id")
         if "subject" not in items.columns:
             items = items.withColumn("subject", F.lit(""))
         present = F.array_distinct(terms(F.concat_ws(" ", "title", "subject", F.array_join("passages", " "))))
-        return items.withColumn("present", present), _kept(I.build(items.select("id", "terms")))
+        self._sides[name] = stored(items.withColumn("present", present)), _kept(I.build(items.select("id", "terms")))
+        return self._sides[name]
 
 
 def _kept(index: I.Index) -> I.Index:
-    return I.Index(index.postings.persist(), index.terms.persist(), index.stats)
+    return I.Index(stored(index.postings), stored(index.terms), stored(index.stats))
 
 
 def retrieve(corpus: Corpus, asked: DataFrame, filters: DataFrame, k: int) -> DataFrame:
@@ -102,6 +116,7 @@ def prepare(corpus: Corpus, questions: DataFrame, limits: E.Limits = E.Limits())
     another source's file_id. A question that names decisions gets these with their reasoning and their
     nearest neighbours; others get what retrieval finds.
     """
+    corpus = corpus.kept
     asked = questions if "query" in questions.columns else questions.withColumn("query", F.col("question"))
     own, merged = X.question_filters("question"), X.question_filters("query")
     unset = own["instance"].isNull() & own["year"].isNull()
@@ -109,9 +124,9 @@ def prepare(corpus: Corpus, questions: DataFrame, limits: E.Limits = E.Limits())
     q, plain = search.query_terms(asked, "query"), search.query_terms(asked, "query", expanded=False)
     fields = corpus.decisions.select("id", "passages", "reasoning", "operative", F.size("passages").alias("n_passages"))
 
-    direct = search.direct_references(asked, reference_ids(corpus.decisions)).persist()
+    direct = stored(search.direct_references(asked, reference_ids(corpus.decisions)))
     free = asked.join(direct.select("qid").distinct(), "qid", "left_anti")
-    found = retrieve(corpus, free, filters, limits.retrieved).persist()
+    found = stored(retrieve(corpus, free, filters, limits.retrieved))
     hits = direct.select("qid", "id", (F.col("ord") - 1).alias("place")).unionByName(found.select("qid", "id", (F.col("rank") - 1).alias("place")))
 
     named = direct.where(F.col("ord") <= limits.cited).join(fields.withColumnRenamed("passages", "all"), "id")
@@ -149,7 +164,7 @@ def prepare(corpus: Corpus, questions: DataFrame, limits: E.Limits = E.Limits())
 def panoramas(corpus: Corpus, asked: DataFrame, hits: DataFrame, direct: DataFrame, filters: DataFrame) -> DataFrame:
     """The counts of the offences that a question is about; of everything, for a quantitative question
     with neither an offence nor a named decision. Empty counts are left out."""
-    groups = P.offence_candidates(asked, hits, corpus.decisions.select("id", "keys"), corpus.names, corpus.index.terms, "query").select("qid", "ord", "keys").persist()
+    groups = stored(P.offence_candidates(asked, hits, corpus.decisions.select("id", "keys"), corpus.names, corpus.index.terms, "query").select("qid", "ord", "keys"))
     whole = asked.where(X.is_quantitative("question")).join(groups, "qid", "left_anti").join(direct, "qid", "left_anti").select("qid", F.lit(1).alias("ord"), F.lit(None).cast("array<string>").alias("keys"))
     requests = groups.unionByName(whole).join(filters, "qid").withColumn("rid", F.struct("qid", "ord"))
     counts = P.panorama(P.selected(corpus.decisions, requests))

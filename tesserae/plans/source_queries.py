@@ -21,7 +21,7 @@ def _raw_decisions(spark, sf_dir):
     n = lambda c: c.cast("string")
     protocol = F.concat(F.lit("31."), F.lpad(n(i), 8, "0"), F.lit("/2024-31"))
     notice = F.struct(
-        F.concat(F.lpad(n(i), 10, "0"), F.lit("AN")).alias("numero"), F.lit(None).cast("string").alias("tipo"), F.concat(F.lit(" comércio irregular em NATION_"), n(i % N_OFFENCES)).alias("infracao"),
+        F.concat(F.lpad(n(i), 10, "0"), F.lit("AN")).alias("numero"), F.lit(None).cast("string").alias("tipo"), F.concat(F.lit(" comércio irregular na quadra Q"), n(100 + i % N_OFFENCES)).alias("infracao"),
         F.concat(F.lit("LEI 9.725/09 - ART. "), n(i % N_ARTICLES)).alias("dispositivo_legal_transgredido"), F.lit(None).cast("string").alias("lei"),
     )
     return spread(table(spark, sf_dir, "documents")).select(
@@ -57,7 +57,8 @@ def _raw_opinions(spark, sf_dir):
 
 def _raw_guidance(spark, sf_dir):
     """One guidance document with a topic for each nation; nations are a fixed number of rows."""
-    topic = F.concat(F.lit("1."), (F.col("n_nationkey") + 1).cast("string"), F.lit(" - Comércio irregular em "), "n_name", F.lit("\n\nO comércio irregular em "), "n_name", F.lit(" depende de licença prévia."))
+    block = (100 + F.col("n_nationkey")).cast("string")
+    topic = F.concat(F.lit("1."), (F.col("n_nationkey") + 1).cast("string"), F.lit(" - Comércio irregular na quadra Q"), block, F.lit("\n\nO comércio irregular na quadra Q"), block, F.lit(" depende de licença prévia."))
     one = table(spark, sf_dir, "nation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", topic.alias("t")))), lambda x: x["t"]), "\n\n").alias("texto"))
     return one.select(
         F.lit(0).cast("long").alias("id"), F.lit("g").alias("file_id"), F.lit("Entendimento Juntas 2024").alias("nome_arquivo"), F.lit("").alias("categoria"), "texto", F.lit("").alias("drive_view_url")
@@ -71,11 +72,11 @@ def _corpus(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    """Benchmark passages asked in four ways, and a question on each nation's offence."""
+    """Benchmark passages asked in four ways, and a question on the offence by each nation's number."""
     i = F.col("item_id")
     protocol = F.concat(F.lit("qual o resultado do protocolo 31."), F.lpad(i.cast("string"), 8, "0"), F.lit("/2024-31? "))
     lead = F.when(i % 4 == 0, "quantas decisões: ").when(i % 4 == 1, protocol).when(i % 4 == 2, "há parecer sobre ").otherwise("")
-    nation = table(spark, sf_dir, "nation").select((1_000_000 + F.col("n_nationkey")).cast("long").alias("qid"), F.concat(F.lit("quantos casos de comércio irregular em "), "n_name", F.lit(" na 2ª instância?")).alias("question"))
+    nation = table(spark, sf_dir, "nation").select((1_000_000 + F.col("n_nationkey")).cast("long").alias("qid"), F.concat(F.lit("quantos casos de comércio irregular na quadra Q"), (100 + F.col("n_nationkey")).cast("string"), F.lit(" na 2ª instância?")).alias("question"))
     return table(spark, sf_dir, "benchmark").select(i.cast("long").alias("qid"), F.concat(lead, "text").alias("question")).unionByName(nation)
 
 
@@ -173,7 +174,7 @@ _DATE = r"regexp_extract(left(t, 1500), '(?i)SESS[ÃA]O[^\n]{0,60}?(\d{2})/(\d{2
 _DECISIONS = f"""dec AS (SELECT doc_id AS id, 'd' || doc_id AS file_id, 'voto ' || doc_id || '.PDF' AS title, '31.' || {_ID} || '/2024-31' AS protocol, 'Recurso em ' || lang AS subject,
   CASE WHEN lang IN ('en', 'de') THEN '1ª instância' ELSE '2ª instância' END AS instance, ([{', '.join(map(S.quoted, X.OUTCOMES))}])[{_CODE} + 1] AS outcome,
   CASE WHEN {_DATE}3) BETWEEN '2024' AND '2030' THEN {_DATE}3) || '-' || {_DATE}2) || '-' || {_DATE}1) ELSE '2024-03-03' END AS date, (doc_id % 5 + 1)::VARCHAR AS panel,
-  'comercio irregular em nation_' || (doc_id % {N_OFFENCES}) AS keys FROM ({_SQL_DECISION}) JOIN documents USING (doc_id))"""
+  'comercio irregular na quadra q' || (100 + doc_id % {N_OFFENCES}) AS keys FROM ({_SQL_DECISION}) JOIN documents USING (doc_id))"""
 _LINES = "ln AS (SELECT doc_id, n, i, CASE WHEN i = doc_id % n THEN 'do mérito: ' || line ELSE line END AS line FROM (SELECT doc_id, len(s) AS n, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))"
 _SQL_LEAD = f"([{', '.join(map(S.quoted, _LEADS))}])[doc_id % {len(_LEADS)} + 1] || coalesce(text, '')"
 _UNIT = f"SELECT item_id AS id, 2 AS pos, item_id, 'Art. ' || item_id AS label, (item_id % {N_ARTICLES})::VARCHAR AS number, 'Art. ' || item_id || ' - ' || text AS t FROM benchmark"
@@ -181,10 +182,10 @@ ORACLES = {
     "source_decisions": f"WITH {_DECISIONS} SELECT *, left(date, 4) AS year FROM dec",
     "decision_headers": f"""WITH {_DECISIONS} SELECT id, 'Protocolo ' || protocol || ' · ' || instance || ' · JIJF ' || panel || ' · sessão de ' || substr(date, 9) || '/' || substr(date, 6, 2) || '/' || left(date, 4)
   || ' · resultado: ' || CASE outcome WHEN '' THEN 'não identificado' ELSE outcome END || chr(10) || 'Assunto: ' || subject || chr(10)
-  || 'Auto ' || lpad(id::VARCHAR, 10, '0') || 'AN: Comércio irregular em nation_' || (id % {N_OFFENCES}) || ' (LEI 9.725/09 - ART. ' || (id % {N_ARTICLES}) || ')' AS header FROM dec""",
+  || 'Auto ' || lpad(id::VARCHAR, 10, '0') || 'AN: Comércio irregular na quadra q' || (100 + id % {N_OFFENCES}) || ' (LEI 9.725/09 - ART. ' || (id % {N_ARTICLES}) || ')' AS header FROM dec""",
     "reference_ids": f"""SELECT 'notice' AS kind, lpad(doc_id::VARCHAR, 10, '0') || 'AN' AS key, doc_id AS id FROM documents UNION ALL SELECT 'notice', lpad(doc_id::VARCHAR, 10, '0'), doc_id FROM documents
 UNION ALL SELECT 'protocol', '31' || {_ID} || '202431', doc_id FROM documents""",
-    "offence_names": f"SELECT 'comercio irregular em nation_' || (doc_id % {N_OFFENCES}) AS key, 'comércio irregular em NATION_' || (doc_id % {N_OFFENCES}) AS name, count(*) AS n FROM documents GROUP BY ALL",
+    "offence_names": f"SELECT 'comercio irregular na quadra q' || (100 + doc_id % {N_OFFENCES}) AS key, 'comércio irregular na quadra Q' || (100 + doc_id % {N_OFFENCES}) AS name, count(*) AS n FROM documents GROUP BY ALL",
     "source_statutes": rf"""SELECT id, pos, 'Lei 9.725#' || label AS file_id, 'Lei 9.725, ' || label AS title, 'Geral' AS subject, 'artigo' AS unit, 'Lei 9.725' AS law, number,
   trim(regexp_replace(left(t, 20) || substr(t, 31), '\s+', ' ', 'g')) AS body FROM ({_UNIT})""",
     "statute_articles": f"SELECT 'lei' AS kind, 9725 AS num, number AS art, min(id) AS id, 2 AS pos FROM ({_UNIT}) GROUP BY number",

@@ -44,3 +44,23 @@ def test_gold_holds_documents_of_any_rank(spark, tmp_path):
     spark.createDataFrame([(1, passage), (2, "one-word"), (3, ""), (4, None), (5, "absent from all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {tuple(r) for r in search_queries._gold(spark, str(tmp_path)).collect()} == {(1, 60), (2, 61)}
     assert QUERIES["eval_top1"](spark, str(tmp_path)).first()["n"] == 2
+
+
+def test_whole_plan_against_counts(spark, duck):
+    """Named decisions, guidance and panoramas of the whole plan follow from the tables."""
+    plan = QUERIES["evidence_plan_all"](spark, SF_DIR).collect()
+    by = {}
+    for r in sorted(plan, key=lambda r: r["number"]):
+        by.setdefault(r["qid"], []).append(r)
+    assert all([r["number"] for r in rows] == list(range(1, len(rows) + 1)) for rows in by.values())
+    order = ["guidance", "statute", "opinion", "decision", "panorama"]
+    assert all((k := [order.index(r["kind"]) for r in rows]) == sorted(k) for rows in by.values())
+    held = {i for (i,) in duck.sql("SELECT doc_id FROM documents").fetchall()}
+    for (item,) in duck.sql("SELECT item_id FROM benchmark WHERE item_id % 4 = 1").fetchall():
+        named = [r["ref"] for r in by.get(item, []) if r["reason"] == "citada na pergunta"]
+        assert named == ([str(item)] if item in held else [])
+    for n, total in duck.sql("SELECT doc_id % 25, count(*) FROM documents WHERE lang NOT IN ('en', 'de') GROUP BY 1").fetchall():
+        rows = by[1_000_000 + n]
+        assert [r["ref"] for r in rows if r["kind"] == "guidance"] == [f"guidance#{n}"]
+        first = next(r["passages"] for r in rows if r["kind"] == "panorama").splitlines()
+        assert first[0].endswith(f"quadra q{100 + n}") and first[1] == f"Total de decisões no acervo: {total} (2ª instância: {total})"
