@@ -16,6 +16,9 @@ NAMES = {
     "op8_ngram_jaccard_join": ("tesserae.llm.ngram_join", "op8"),
     "op9_order_minhash": ("tesserae.llm.order_minhash", "op9"),
     "op10_toxicity": ("tesserae.llm.toxicity", "op10"),
+    "op11_filter_audit": ("tesserae.llm.filter_audit", "op11"),
+    "op12_token_counts": ("tesserae.llm.token_counts", "op12"),
+    "op13_prefix_trie": ("tesserae.llm.prefix_trie", "op13"),
     "pipeline": ("corpus_pipeline", "run"),
 }
 

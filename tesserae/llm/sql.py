@@ -63,5 +63,69 @@ FROM (
       (('0x' || substr(sha1(coalesce(html, '')) || '00', ((i * 5) // 8) * 2 + 1, 4))::INT >> (11 - (i * 5) % 8) & 31) + 1, 1)), '') AS b32
   FROM pages
 )
+""",
+    "op11_filter_audit": f"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents
+), m AS (
+  SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INT AS mask FROM w
+), g AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m
+  LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY ALL
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), o AS (
+  SELECT concat(a.c, b.c, c.c, d.c, e.c) AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), s AS (
+  SELECT filter_order, step::INT AS step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    list_sum([1 << (ascii(x) - 65) FOR x IN string_split(filter_order[1:step - 1], '') IF x <> '']) AS gone
+  FROM o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (coalesce(gone, 0) | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit > 0 AND mask & coalesce(gone, 0) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit > 0 AND mask & coalesce(gone, 0) > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit > 0 AND mask & coalesce(gone, 0) = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit > 0 AND mask & coalesce(gone, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+""",
+    "op13_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), h AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, x: list_reduce(range(0, 8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, x)), 4294967295), 4294967295) % 6 AS h FROM t
+), k AS (
+  SELECT h.conv_id, h, coalesce(least(h, n), 0) AS n_head, base FROM h LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM t GROUP BY ALL) USING (base)
+), r AS (
+  SELECT conv_id, n_head + pos - h AS d, role, text FROM t JOIN k USING (conv_id) WHERE pos > h
+  UNION ALL SELECT k.conv_id, pos AS d, role, text FROM k JOIN t ON t.conv_id = base WHERE pos <= n_head
+), l AS (
+  SELECT conv_id, coalesce(list({'r': role, 'x': text} ORDER BY d) FILTER (d IS NOT NULL), []) AS l FROM h LEFT JOIN r USING (conv_id) GROUP BY conv_id
+), p AS (
+  SELECT conv_id, d, l[1:d] AS s, d = len(l) AS ends FROM l, LATERAL (SELECT unnest(range(0, len(l) + 1)) AS d)
+), n AS (
+  SELECT d, s, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ids FROM p GROUP BY d, s
+), e AS (
+  SELECT n.*, up.conv_id AS up FROM n LEFT JOIN n AS up ON up.d = n.d - 1 AND up.s = n.s[1:n.d - 1]
+), c AS (
+  SELECT n.d, n.s, count(e.d) AS n_children FROM n LEFT JOIN e ON e.d = n.d + 1 AND e.s[1:n.d] = n.s GROUP BY ALL
+), x AS (
+  SELECT a.d, a.s, sum((b.n_convs - 1) * coalesce(length(b.s[b.d].x), 0)) AS saved, count(*) FILTER (c.n_children = 0) AS n_leaves
+  FROM n AS a JOIN n AS b ON b.d >= a.d AND b.s[1:a.d] = a.s JOIN c ON c.d = b.d AND c.s = b.s GROUP BY ALL
+)
+SELECT e.conv_id, e.d::BIGINT AS depth, up AS parent_conv_id, n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM e JOIN c ON c.d = e.d AND c.s = e.s JOIN x ON x.d = e.d AND x.s = e.s
 """,
 }
