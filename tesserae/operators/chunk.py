@@ -29,8 +29,9 @@ def clean_lines(c: Column | str) -> Column:
     raw = F.split(text(c), LINE_END)
     raw = F.when(F.element_at(raw, -1) == "", F.slice(raw, 1, F.greatest(F.size(raw) - 1, F.lit(0)))).otherwise(raw)
     lines = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, "[ \\t\\xa0]+", " "), r"(?U)^\s+|\s+$", ""))
-    once = F.transform(lines, lambda x, i: F.when((x != "") & (F.length(x) < HEADER), x).otherwise(F.concat(x, F.lit("\0"), i)))
-    return F.filter(F.transform(F.array_distinct(once), lambda x: F.regexp_replace(x, r"\x00\d+$", "")), lambda x: ~x.rlike(PAGE))
+    header = lambda x: (x != "") & (F.length(x) < HEADER)
+    once = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.when(header(x), -1).otherwise(i).alias("place")))
+    return F.filter(F.transform(F.array_distinct(once), lambda x: x["line"]), lambda x: ~x.rlike(PAGE))
 
 
 def _paragraphs(lines) -> list[str]:
@@ -47,13 +48,22 @@ def _paragraphs(lines) -> list[str]:
 
 
 def _cuts(paragraph: str, target: int) -> list[str]:
-    """The paragraph in pieces; all but the last are cut off at the last sentence end near the target."""
-    if len(paragraph) <= 1.6 * target:
-        return [paragraph]
+    """The paragraph in pieces; all but the last are cut off at the last sentence end near the target.
+
+    Only offsets move, so a paragraph of any length costs its length.
+    """
     near, far = int(0.6 * target), int(1.4 * target)
-    before, mark, _ = paragraph[near:far].rpartition(". ")
-    size = near + len(before) + 1 if mark else target
-    return [paragraph[:size].strip(), *_cuts(paragraph[size:].strip(), target)]
+    at, end, out = 0, len(paragraph), []
+    while end - at > 1.6 * target:
+        mark = paragraph.rfind(". ", at + near, at + far)
+        size = mark + 1 if mark >= 0 else at + target
+        out.append(paragraph[at:size].strip())
+        at = size
+        while at < end and paragraph[at].isspace():
+            at += 1
+        while end > at and paragraph[end - 1].isspace():
+            end -= 1
+    return [*out, paragraph[at:end]]
 
 
 def passages_of(lines, target: int) -> list[str]:
@@ -66,7 +76,7 @@ def passages_of(lines, target: int) -> list[str]:
     for paragraph in _paragraphs(lines):
         *cut, last = _cuts(paragraph, target)
         bins += [[piece] for piece in cut] + [[]] * bool(cut)
-        room = target - len(" ".join(bins[-1]))
+        room = target - (sum(map(len, bins[-1])) + max(len(bins[-1]) - 1, 0))
         if bins[-1] and len(last) > room:
             bins.append([])
         bins[-1] = [*bins[-1], last]

@@ -1,4 +1,4 @@
-"""BM25 index as three DataFrames, stored under a signature of the sources."""
+"""BM25 index as three DataFrames, and the stored one for a signature of the sources."""
 
 from __future__ import annotations
 
@@ -6,26 +6,39 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from typing import TYPE_CHECKING
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+if TYPE_CHECKING:
+    from .segments import Segments
 
 #: Fixed values of the weighting: saturation, length normalisation, least average length.
 K1, B, LEAST_AVERAGE = 1.2, 0.75, 1.0
-VERSION = 1
+VERSION = 2
 
 
 @dataclass
 class Index:
-    """postings (term, id, weight), terms (term, df, idf), stats (n_docs, avg_len); one corpus."""
+    """postings (term, id, weight), terms (term, df, idf), stats (n_docs, avg_len); one corpus.
+
+    segments, with the average length: the stored form, which searches read by buckets and blocks.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    segments: Segments | None = None
+    average: float = 0.0
+
 
-    def write(self, path: str) -> None:
-        """postings are sorted by term within files, so a query reads only its terms' row groups."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-        self.terms.write.parquet(f"{path}/terms")
-        self.stats.write.parquet(f"{path}/stats")
+def idf(n_docs: Column, df: Column) -> Column:
+    return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def weight(tf: Column, length: Column, average: Column, idf: Column) -> Column:
+    """Grows with tf and falls with length."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average)) * idf
 
 
 def build(items: DataFrame, terms_col: str = "terms", id_col: str = "id") -> Index:
@@ -38,25 +51,20 @@ def build(items: DataFrame, terms_col: str = "terms", id_col: str = "id") -> Ind
     stats = sized.agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.size("terms")), F.lit(LEAST_AVERAGE)).alias("avg_len"))
     counted = sized.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"))
-    norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
+    terms = df.crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
     postings = (
         counted.join(terms, "term").crossJoin(F.broadcast(stats))
-        .select("term", "id", (F.col("tf") * (K1 + 1) / (F.col("tf") + norm) * F.col("idf")).alias("weight"))
+        .select("term", "id", weight(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("idf")).alias("weight"))
     )
     return Index(postings, terms, stats)
 
 
-def read(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")))
-
-
 def signature(spark: SparkSession, paths: list[str]) -> str:
-    """Names an index by version and by each source's name, size and modification time."""
+    """Names an index by version and by each source's place, files' names, sizes and modification times."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     facts: list = [VERSION]
     for p in sorted(paths):
+        facts.append(p)
         at = jvm.org.apache.hadoop.fs.Path(p)
         fs = at.getFileSystem(conf)
         for s in fs.listStatus(at) if fs.exists(at) else []:
@@ -64,19 +72,13 @@ def signature(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256(json.dumps(facts).encode()).hexdigest()[:16]
 
 
-def load_or_build(spark: SparkSession, root: str, sources: list[str], items, **kwargs) -> Index:
-    """The stored index for the sources' signature; a missing or unreadable one is built again.
+def load_or_build(spark: SparkSession, root: str, sources: list[str], items, **options) -> Index:
+    """The stored index for the sources' signature; one without a whole version is built again.
 
-    items: a function that gives the (id, terms) DataFrame, called only if it is needed.
+    items: a function that gives the (id, terms) DataFrame, called only if it is needed. options: as
+    segments.Segments takes them.
     """
-    path = f"{root}/{signature(spark, sources)}"
-    try:
-        index = read(spark, path)
-        index.stats.first()
-        return index
-    except Exception:  # noqa: BLE001  absent, partial or corrupt: build
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        build(items(), **kwargs).write(path)
-        return read(spark, path)
+    from .segments import Segments
+
+    stored = Segments(spark, f"{root}/{signature(spark, sources)}", **options)
+    return (stored if stored.live else stored.add(items())).index()

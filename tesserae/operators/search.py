@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import expand, terms
-from .index import Index
+from ..sources.stored import stored
+from .index import Index, weight
+from .segments import bucket
 
 #: Rank offset and depth of the fusion, boost of items named by number.
 OFFSET, DEPTH, DIRECT = 60, 400, 1.0
@@ -18,6 +20,10 @@ OFFSET, DEPTH, DIRECT = 60, 400, 1.0
 POOL = 4
 #: Digits of scores: equal items tie whatever the order in which their weights were added.
 DIGITS = 9
+#: Question terms, and blocks, up to which a side is broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Items, as a multiple of k, whose blocks are opened first; what sums of rounded weights may differ by.
+FIRST, SLACK = 2, 1e-6
 
 
 def query_terms(questions: DataFrame, column: str = "question", expanded: bool = True) -> DataFrame:
@@ -27,9 +33,73 @@ def query_terms(questions: DataFrame, column: str = "question", expanded: bool =
 
 
 def bm25(index: Index, qterms: DataFrame) -> DataFrame:
-    """(qid, id, score): the sum of the weights of the question's terms, by a join on the
-    term; sorted files spare a reader row groups only where the question's terms are literals."""
-    return index.postings.join(qterms, "term").groupBy("qid", "id").agg(F.round(F.sum("weight"), DIGITS).alias("score"))
+    """(qid, id, score): the sum of the weights of the question's terms. A stored index is read by the
+    buckets of these terms."""
+    if index.segments is None:
+        return index.postings.join(qterms, "term").groupBy("qid", "id").agg(F.round(F.sum("weight"), DIGITS).alias("score"))
+    asked, n_asked, buckets = _weighed(index, qterms)
+    return _opened(index, asked, n_asked, buckets).select("qid", "id", "score")
+
+
+def bm25_top(index: Index, qterms: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): the k best of bm25(), without opening every block of a stored index.
+
+    Bounds come from the largest count and least length of each term in each block. Blocks of the
+    highest bounds, enough for k items, are opened first; the k-th best score in them is one that a
+    block's bound has to reach. Scores and ranks are those of all blocks; what is skipped can't enter.
+    """
+    if index.segments is None:
+        return rank(bm25(index, qterms).where("score > 0"), k)
+    asked, n_asked, buckets = _weighed(index, qterms)
+    tops = index.segments.postings(buckets).select("term", "block", "max_tf", "min_len", "n")
+    most = weight(F.col("max_tf"), F.col("min_len"), F.lit(index.average), F.col("idf"))
+    # Segments of a block hold different items, so what they add up to bounds each of them.
+    bounds = tops.join(_small(asked, n_asked), "term").groupBy("qid", "block").agg(F.sum(most).alias("bound"), F.max("n").alias("n"))
+    bounds = stored(bounds)
+    order = Window.partitionBy("qid").orderBy(F.col("bound").desc(), "block")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = bounds.withColumn("before", before).where(F.col("before") < FIRST * k).select("qid", "block")
+    one = stored(rank(_opened(index, asked, n_asked, buckets, first).where("score > 0"), k))
+    least = one.where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+    rest = bounds.join(first, ["qid", "block"], "left_anti").join(least, "qid", "left")
+    rest = rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK)).select("qid", "block")
+    two = rank(_opened(index, asked, n_asked, buckets, rest).where("score > 0"), k)
+    return rank(one.unionByName(two).select("qid", "id", "score"), k)
+
+
+def _weighed(index: Index, qterms: DataFrame) -> tuple[DataFrame, int, list[int]]:
+    """Known question terms (qid, term, idf), their number, and the buckets that hold them (a fixed
+    number at most)."""
+    asked = stored(qterms.join(index.terms.select("term", "idf"), "term").select("qid", "term", "idf"))
+    of = bucket(F.col("term"), index.segments.buckets)
+    seen = asked.groupBy(of.alias("b")).agg(F.count("*").alias("n")).collect()
+    return asked, sum(r["n"] for r in seen), sorted(r["b"] for r in seen)
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _opened(index: Index, asked: DataFrame, n_asked: int, buckets: list[int], chosen: DataFrame | None = None) -> DataFrame:
+    """(block, qid, id, score) of all blocks, or of chosen (qid, block).
+
+    Packed postings are dealt by block before they are unpacked, and all of an item's lie in its block:
+    the sums need no shuffle of their own, and what is shuffled doesn't grow with the questions.
+    """
+    held = index.segments.postings(buckets)
+    if n_asked <= BROADCAST_ROWS:
+        held = held.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    if chosen is not None:
+        wanted = stored(chosen.groupBy("block").agg(F.collect_set("qid").alias("wanted")))
+        held = held.join(_small(wanted, wanted.count()), "block")
+    rows = held.repartition("block").join(_small(asked, n_asked), "term")
+    if n_asked > BROADCAST_ROWS:
+        rows = rows.repartition("block")
+    if chosen is not None:
+        rows = rows.where(F.array_contains("wanted", F.col("qid")))
+    rows = index.segments.alive(rows.select("seg", "block", "qid", "idf", F.explode("entries").alias("e")).select("seg", "block", "qid", "idf", "e.id", "e.tf", "e.len"))
+    one = weight(F.col("tf"), F.col("len"), F.lit(index.average), F.col("idf"))
+    return rows.groupBy("block", "qid", "id").agg(F.round(F.sum(one), DIGITS).alias("score"))
 
 
 def query_idf(index: Index, qterms: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import offence_key, terms
 from ..operators import index as I
+from ..operators.segments import by_owner
+from ..sources.stored import folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +27,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", instance.alias("instance"), (2015 + F.col("doc_id") % 10).cast("string").alias("year"))
 
 
+@lru_cache(maxsize=None)
+def _root(spark: SparkSession) -> str:
+    return folder(spark, "indexes")
+
+
 def index(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.build(spread(documents(spark, sf_dir).select("id", "text")).select("id", terms("text").alias("terms")))
+    """The documents' stored index, built when a query of this process first asks for it."""
+    items = lambda: spread(documents(spark, sf_dir).select("id", "text")).select("id", terms("text").alias("terms"))
+    return I.load_or_build(spark, f"{_root(spark)}/documents", [f"{sf_dir}/documents.parquet"], items)
+
+
+def line_index(spark: SparkSession, sf_dir: str) -> I.Index:
+    """The stored index of documents' lines (id, pos): lines stand for passages, so that SQL can cut them too."""
+    def items():
+        lines = spread(documents(spark, sf_dir)).select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        return lines.select(F.struct("id", "pos").alias("id"), terms("line").alias("terms"))
+
+    return I.load_or_build(spark, f"{_root(spark)}/lines", [f"{sf_dir}/documents.parquet"], items, block=by_owner)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +73,3 @@ def key_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").groupBy(offence_key("p_name").alias("key")).agg(F.min_by("p_name", "p_partkey").alias("name"))
     counts = order_keys(spark, sf_dir).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     return names.join(counts, "key")
-
-

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from ..operators import chunk, evaluate, index as I, search, vector
+from ..operators import evaluate, search, vector
+from ..operators.segments import Segments
+from ..sources.stored import folder
 from . import sql as S
-from .corpus import documents, index, questions, spread, table
+from .corpus import documents, index, line_index, questions, spread, table
 
 K = 10
 
 
 def _bm25_one(spark, sf_dir):
     q = spark.createDataFrame([(0, "the thing that was ering over and under")], "qid long, question string")
-    hits = search.rank(search.bm25(index(spark, sf_dir), search.query_terms(q)), K)
+    hits = search.bm25_top(index(spark, sf_dir), search.query_terms(q), K)
     return hits.select("id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -27,10 +29,8 @@ def _ranked(scores, k=K):
 
 
 def _line_scores(spark, sf_dir, qterms):
-    """Best line of each document: lines stand for passages, so that SQL can cut them too."""
-    lines = spread(documents(spark, sf_dir)).select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    passages = lines.select(F.struct("id", "pos").alias("id"), terms("line").alias("terms"))
-    return search.best_passage(search.bm25(I.build(passages), qterms), F.col("id.id"))
+    """Best line of each document."""
+    return search.best_passage(search.bm25(line_index(spark, sf_dir), qterms), F.col("id.id"))
 
 
 def _passage_max(spark, sf_dir):
@@ -130,6 +130,38 @@ def _postings(spark, sf_dir):
     return index(spark, sf_dir).postings.select("term", "id", F.round("weight", 6).alias("weight"))
 
 
+def _weights(postings, terms):
+    """(term, df, total, heaviest): an index by its terms."""
+    return postings.join(terms, "term").groupBy("term", "df").agg(F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("heaviest"))
+
+
+def _term_weights(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    return _weights(ix.postings, ix.terms)
+
+
+def _changed_index(spark, sf_dir):
+    """The documents indexed in steps: those of even ids and a stale form of some others, from which
+    then all even ids of one lang and the stale ones are removed, then what is missing is added. The
+    state read from all segments, and after compaction."""
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang"))
+    even, stale = F.col("id") % 2 == 0, F.col("id") % 10 == 1
+    ix = Segments(spark, folder(spark, "changes"))
+    ix.add(docs.where(even | stale).select("id", F.when(stale, F.array(F.lit("stale"), F.lit("x1"))).otherwise(terms("text")).alias("terms")))
+    ix.remove(docs.where(stale | (even & (F.col("lang") == "en"))))
+    ix.add(docs.where(~even | (F.col("lang") == "en")).select("id", terms("text").alias("terms")))
+    merged = ix.index()
+    compacted = ix.compact().index()
+    out = [_weights(x.postings, x.terms).withColumn("state", F.lit(n)) for x, n in ((merged, "merged"), (compacted, "compacted"))]
+    return out[0].unionByName(out[1])
+
+
+def _best_blocks(spark, sf_dir):
+    """The best three documents of each question, with blocks skipped that can't hold one of them."""
+    hits = search.bm25_top(index(spark, sf_dir), search.query_terms(questions(spark, sf_dir), expanded=False), 3)
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def _stats(spark, sf_dir):
     return index(spark, sf_dir).stats.select("n_docs", F.round("avg_len", 6).alias("avg_len"))
 
@@ -138,6 +170,9 @@ QUERIES = {
     "search_bm25": _bm25_one,
     "index_df_idf": _terms,
     "index_postings": _postings,
+    "index_term_weights": _term_weights,
+    "index_changes": _changed_index,
+    "search_top_blocks": _best_blocks,
     "corpus_stats": _stats,
     "search_bm25_batch": lambda s, d: _ranked(_bm25(s, d)),
     "search_passage_max": _passage_max,
@@ -160,11 +195,15 @@ _TOP = f"SELECT qid, id, rank, round(score / max(score) OVER (PARTITION BY qid),
 _FUSED = "fused AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 12) AS score FROM ({}) GROUP BY ALL)"
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings)"
 _GOLD = r"g AS (SELECT item_id AS qid, doc_id AS id FROM benchmark, documents WHERE regexp_matches(benchmark.text, '\S') AND contains(documents.text, benchmark.text))"
+_WEIGHTS = "SELECT term, df, round(sum(weight), 5) AS total, round(max(weight), 6) AS heaviest FROM postings JOIN terms USING (term) GROUP BY term, df"
 ORACLES = {
     "search_bm25": f"""WITH {_INDEX}, q AS (SELECT 0 AS qid, unnest(list_distinct({S.terms(S.expand("'the thing that was ering over and under'"))})) AS term), {S.BM25}
 SELECT id, round(score, 6) AS score, rank FROM {S.ranked('bm', K)}""",
     "index_df_idf": f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "index_postings": f"WITH {_INDEX} SELECT term, id, round(weight, 6) AS weight FROM postings",
+    "index_term_weights": f"WITH {_INDEX} {_WEIGHTS}",
+    "index_changes": f"WITH {_INDEX}, w AS ({_WEIGHTS}) SELECT w.*, state FROM w, (SELECT unnest(['merged', 'compacted']) AS state)",
+    "search_top_blocks": f"WITH {_INDEX}, q AS (SELECT item_id AS qid, unnest(list_distinct({S.terms('text')})) AS term FROM benchmark), {S.BM25} SELECT qid, id, round(score, 6) AS score, rank FROM {S.ranked('bm', 3)}",
     "corpus_stats": f"WITH {_INDEX} SELECT n_docs, round(avg_len, 6) AS avg_len FROM stats",
     "search_bm25_batch": f"{_WITH} SELECT qid, id, round(score, 6) AS score, rank FROM {S.ranked('bm', K)}",
     "search_passage_max": f"WITH {_LINES}, {S.QUESTIONS}, {_PASSAGE} SELECT qid, id, round(score, 6) AS score, rank FROM {S.ranked('pm', K)}",

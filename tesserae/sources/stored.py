@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: What the process owns to its end, and what the innermost owner of this thread does.
+_PROCESS: list[tuple[SparkSession, str]] = []
+_OWNER: ContextVar[list[tuple[SparkSession, str]]] = ContextVar("tables", default=_PROCESS)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,21 +27,42 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+def folder(spark: SparkSession, name: str = "") -> str:
+    """A new folder's path, which goes with its owner."""
+    path = f"{shared_folder(spark)}/tesserae-{uuid.uuid4().hex}{name and '-' + name}"
+    _OWNER.get().append((spark, path))
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once and read back: what several branches of a plan need is computed once and survives
-    lost executors. The table goes when the process ends."""
-    path = f"{shared_folder(df.sparkSession)}/tesserae-{uuid.uuid4().hex}"
+    lost executors. The table goes with its owner: owned(), else the process."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remove() -> None:
-    for spark, path in _WRITTEN:
+@contextmanager
+def owned():
+    """Tables stored inside, by this thread, go at the end: what reads them must have been written by then."""
+    token = _OWNER.set([])
+    try:
+        yield
+    finally:
+        _remove(_OWNER.get())
+        _OWNER.reset(token)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         context = spark.sparkContext
         if context._jsc is not None and not context._jsc.sc().isStopped():
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+            delete(spark, path)
 
 
-atexit.register(_remove)
+atexit.register(_remove, _PROCESS)
