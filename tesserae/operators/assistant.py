@@ -41,7 +41,7 @@ class Corpus:
 
     @cached_property
     def index(self) -> I.Index:
-        return self.decision_index or _kept(I.build(self.decisions))
+        return self.decision_index or build_stored(self.decisions)
 
     @cached_property
     def passages(self) -> DataFrame:
@@ -49,7 +49,12 @@ class Corpus:
 
     @cached_property
     def passage_index(self) -> I.Index:
-        return _kept(I.build(self.passages.select(F.struct("id", "pos").alias("id"), terms("passage").alias("terms"))))
+        return build_stored(self.passages.select(F.struct("id", "pos").alias("id"), terms("passage").alias("terms")), block=by_owner)
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        """Decisions counted once for every panorama."""
+        return stored(P.cube(self.decisions))
 
     @cached_property
     def names(self) -> DataFrame:
@@ -167,7 +172,7 @@ def panoramas(corpus: Corpus, asked: DataFrame, hits: DataFrame, direct: DataFra
     groups = stored(P.offence_candidates(asked, hits, corpus.decisions.select("id", "keys"), corpus.names, corpus.index.terms, "query").select("qid", "ord", "keys"))
     whole = asked.where(X.is_quantitative("question")).join(groups, "qid", "left_anti").join(direct, "qid", "left_anti").select("qid", F.lit(1).alias("ord"), F.lit(None).cast("array<string>").alias("keys"))
     requests = groups.unionByName(whole).join(filters, "qid").withColumn("rid", F.struct("qid", "ord"))
-    counts = P.panorama(P.selected(corpus.decisions, requests))
+    counts = P.panorama(P.selected(corpus.cube, requests))
     bodies = P.panorama_text(counts, P.label(corpus.names, requests))
     return bodies.select(F.col("rid.qid").alias("qid"), F.col("rid.ord").alias("ord"), F.lit("panorama").alias("kind"), F.lit("panorama").alias("ref"), F.array("body").alias("passages"), F.lit("panorama").alias("reason"))
 

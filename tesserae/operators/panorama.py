@@ -9,40 +9,60 @@ from ..functions.text import capitalize, process_terms, terms
 
 # The order in which outcomes are listed; the first four also when zero.
 OUTCOME_ORDER = ("deferido", "parcialmente deferido", "indeferido", "não conhecido", "extinto", "diligência", "não identificado")
-ALWAYS, LAST_YEARS = 4, 6
+ALWAYS, LAST_YEARS, UNKNOWN = 4, 6, OUTCOME_ORDER[-1]
 # Gates and weights of offence candidates.
 COVERAGE, SHARE, SHARE_WEIGHT, COUNT_WEIGHT, MARGIN, GROUPS, ROOT_WORDS = 0.3, 0.5, 0.5, 0.05, 0.1, 2, 6
 #: Added to a hit's place, from 0, in its weight.
 PLACE = 3
 
 
-def selected(items: DataFrame, requests: DataFrame) -> DataFrame:
-    """(rid, id, outcome, instance, year): the items that each request counts, each once.
+def cube(items: DataFrame) -> DataFrame:
+    """(cell, keys, outcome, instance, year, n): items counted by their set of keys and their facets.
 
-    items: (id, keys, outcome, instance, year). requests: (rid, keys, instance, year); null keys: all
-    items, null filters: none. A filter that nothing passes selects nothing.
+    items: (keys, outcome, instance, year). An item lies in one cell, so cells of several keys add up
+    without counting it twice. An empty or null outcome is 'não identificado', null keys are no keys.
+    Store it and any number of requests meet its cells, not the items.
+    """
+    outcome = F.when(F.coalesce("outcome", F.lit("")) == "", UNKNOWN).otherwise(F.col("outcome"))
+    keys = F.array_sort(F.array_distinct(F.coalesce("keys", F.array().cast("array<string>"))))
+    # Partial aggregates: a combination that a third of all items share is one row of each task.
+    cells = items.groupBy(keys.alias("keys"), outcome.alias("outcome"), "instance", "year").agg(F.count("*").alias("n"))
+    return cells.withColumn("cell", F.struct("keys", "outcome", "instance", "year"))
+
+
+def selected(cells: DataFrame, requests: DataFrame) -> DataFrame:
+    """(rid, outcome, instance, year, n): the cells that each request counts, each once.
+
+    cells: as cube() gives them. requests: (rid, keys, instance, year); null keys: all items, null
+    filters: none. A filter that nothing passes selects nothing.
     """
     r = requests.select("rid", F.col("keys").alias("r_keys"), F.col("instance").alias("r_instance"), F.col("year").alias("r_year"))
-    keyed = r.where("r_keys is not null").withColumn("key", F.explode("r_keys"))
-    by_key = items.withColumn("key", F.explode("keys")).join(keyed, "key").drop("key").dropDuplicates(["rid", "id"])
-    # Requests for everything are few; each reads all items, as it must.
-    everything = items.join(F.broadcast(r.where("r_keys is null")), F.lit(True))
     passes = (F.col("r_instance").isNull() | F.col("instance").startswith(F.col("r_instance"))) & (F.col("r_year").isNull() | (F.col("year") == F.col("r_year")))
-    pick = ["rid", "id", "outcome", "instance", "year"]
-    return by_key.select(*pick, "r_instance", "r_year").union(everything.select(*pick, "r_instance", "r_year")).where(passes).select(pick)
+    pick = ["rid", "outcome", "instance", "year", "n"]
+    keyed = r.where("r_keys is not null").withColumn("key", F.explode(F.array_distinct("r_keys")))
+    by_key = cells.withColumn("key", F.explode("keys")).join(keyed, "key").where(passes)
+    by_key = by_key.groupBy("rid", "cell").agg(*(F.first(c).alias(c) for c in pick[1:]))
+    # Requests for everything meet the facets alone: as many rows as there are kinds of decision.
+    whole = r.where("r_keys is null")
+    facets = cells.groupBy("outcome", "instance", "year").agg(F.sum("n").alias("n"))
+    kinds = facets.select("instance", "year").distinct()
+    filters = whole.select("r_instance", "r_year").distinct().join(kinds, passes)
+    everything = whole.withColumnsRenamed({"r_instance": "w_instance", "r_year": "w_year"}).join(
+        filters, F.col("w_instance").eqNullSafe(F.col("r_instance")) & F.col("w_year").eqNullSafe(F.col("r_year"))
+    ).select("rid", F.col("instance").alias("k_instance"), F.col("year").alias("k_year"))
+    everything = everything.join(facets, F.col("k_instance").eqNullSafe(F.col("instance")) & F.col("k_year").eqNullSafe(F.col("year")))
+    return by_key.select(pick).unionByName(everything.select(pick))
 
 
 def panorama(chosen: DataFrame) -> DataFrame:
     """(rid, facet, value, n): totals and counts by outcome, instance and non-empty year in one pass.
 
-    chosen: as selected() gives it. An empty outcome counts as 'não identificado'.
+    chosen: cells as selected() gives them.
     """
-    rows = chosen.select("rid", F.when(F.coalesce("outcome", F.lit("")) == "", "não identificado").otherwise(F.col("outcome")).alias("outcome"), "instance", "year")
     facets = F.array(
         F.struct(F.lit("total").alias("facet"), F.lit("").alias("value")), *[F.struct(F.lit(c).alias("facet"), F.coalesce(c, F.lit("")).alias("value")) for c in ("outcome", "instance", "year")],
     )
-    # Counted by combination first: a handful of rows for each request reach the explode.
-    combined = rows.groupBy("rid", "outcome", "instance", "year").agg(F.count("*").alias("n"))
+    combined = chosen.groupBy("rid", "outcome", "instance", "year").agg(F.sum("n").alias("n"))
     long = combined.select("rid", F.explode(facets).alias("f"), "n").select("rid", "f.facet", "f.value", "n")
     return long.where("not (facet = 'year' and value = '')").groupBy("rid", "facet", "value").agg(F.sum("n").alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..operators import index as I, panorama as P
 from ..functions.text import PROCESS_WORDS, terms
+from ..sources.stored import stored
 from . import sql as S
 from .corpus import key_names, order_keys, orders, table
 
@@ -17,7 +18,8 @@ def _requests(spark):
 
 
 def _counts(spark, sf_dir):
-    return P.panorama(P.selected(orders(spark, sf_dir).join(order_keys(spark, sf_dir), "id", "left"), _requests(spark)))
+    cells = stored(P.cube(orders(spark, sf_dir).join(order_keys(spark, sf_dir), "id", "left")))
+    return P.panorama(P.selected(cells, _requests(spark)))
 
 
 def _facet(name):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from ..operators import evaluate, search, vector
+from ..operators import evaluate, search, vector, vector_lists
 from ..operators.segments import Segments
 from ..sources.stored import folder
 from . import sql as S
@@ -82,6 +82,29 @@ def _vector_topk(spark, sf_dir):
     return vector.nearest(v, v.where("id % 50 = 0").withColumnRenamed("id", "qid"), K).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def _lists(spark, sf_dir):
+    """The lists, and the stated query set: every row whose id is divisible by 50."""
+    v = _vectors(spark, sf_dir)
+    return vector_lists.build(v), v.where("id % 50 = 0").withColumnRenamed("id", "qid")
+
+
+def _all_lists(spark, sf_dir):
+    """All lists probed: bytes, bounds and second look must give the exact answer."""
+    lists, q = _lists(spark, sf_dir)
+    return lists.nearest(q, K, len(lists.centroids)).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def _list_recall(spark, sf_dir):
+    """Recall of the lists against the exact query, with as many probes as the sample asks for, and the
+    rows that a query meets on average."""
+    lists, q = _lists(spark, sf_dir)
+    probes = lists.probes(k=K)
+    near, exact = lists.nearest(q, K, probes).select("qid", "id"), vector.nearest(_vectors(spark, sf_dir), q, K).select("qid", "id")
+    found = exact.join(near.withColumn("hit", F.lit(1)), ["qid", "id"], "left").agg(F.count_distinct("qid").alias("n_queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    met = lists.scanned(q, probes).agg(F.avg("scanned").alias("scanned"))
+    return found.crossJoin(F.broadcast(met)).select("n_queries", "recall", "scanned", F.lit(int(lists.sizes.sum())).alias("n_rows"), F.lit(probes).alias("probes"), F.lit(len(lists.centroids)).alias("n_lists"))
+
+
 def _similar(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return vector.similar_items(v, v.where("id % 50 = 0").select(F.col("id").alias("qid")), 3).select("qid", "id", F.round("score", 6).alias("score"), "rank")
@@ -181,6 +204,8 @@ QUERIES = {
     "search_coverage": _coverage,
     "direct_refs": _direct,
     "vector_topk": _vector_topk,
+    "vector_lists_exact": _all_lists,
+    "vector_lists_recall": _list_recall,
     "similar_items": _similar,
     "hybrid_rrf": _hybrid,
     "eval_top1": _top1,
@@ -222,6 +247,7 @@ cov AS (SELECT b.qid, b.id, sum(k.idf) AS c FROM best b JOIN known k ON k.qid =
 SELECT b.qid, b.id, b.place AS rank, round(coalesce(c, 0) / t, 6) AS coverage, round(score / t, 6) AS strength FROM best b JOIN total USING (qid) LEFT JOIN cov ON cov.qid = b.qid AND cov.id = b.id""",
     "direct_refs": "SELECT o_custkey AS qid, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord FROM orders",
     "vector_topk": f"WITH {_V}, n AS (SELECT a.id AS qid, b.id, round(list_dot_product(a.vec, b.vec), 9) AS score FROM v a, v b WHERE a.id % 50 = 0) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY n.score DESC, id) AS rank FROM n QUALIFY rank <= {K}",
+    "vector_lists_exact": f"WITH {_V}, n AS (SELECT a.id AS qid, b.id, round(list_dot_product(a.vec, b.vec), 9) AS score FROM v a, v b WHERE a.id % 50 = 0) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY n.score DESC, id) AS rank FROM n QUALIFY rank <= {K}",
     "similar_items": f"WITH {_V}, n AS (SELECT a.id AS qid, b.id, round(list_dot_product(a.vec, b.vec), 9) AS score FROM v a, v b WHERE a.id % 50 = 0 AND a.id <> b.id) SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY n.score DESC, id) AS rank FROM n QUALIFY rank <= 3",
     "hybrid_rrf": f"""{_WITH}, {_V}, n AS (SELECT a.id AS qid, b.id, round(list_dot_product(a.vec, b.vec), 9) AS score FROM v a JOIN benchmark ON item_id = a.id, v b),
 nk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM n QUALIFY rank <= 400),

@@ -240,7 +240,7 @@ def test_nearest_in_blocks_and_neighbours(spark, monkeypatch):
 def test_panorama_counts_and_text(spark):
     items = spark.createDataFrame([(i, ["k1"] if i < 8 else ["k2", "k1"], "deferido" if i % 8 == 0 else "", "1ª instância", "2024" if i else "") for i in range(16)], "id long, keys array<string>, outcome string, instance string, year string")
     requests = spark.createDataFrame([(0, None, None, None), (1, ["k2", "k1"], None, None), (2, ["k2"], "9", None)], "rid long, keys array<string>, instance string, year string")
-    counts = P.panorama(P.selected(items, requests))
+    counts = P.panorama(P.selected(P.cube(items), requests))
     got = {tuple(r[:3]): r[3] for r in rows(counts)}
     assert got[(0, "total", "")] == 16 and got[(1, "total", "")] == 16 and got[(0, "outcome", "não identificado")] == 14 and got[(0, "year", "2024")] == 15
     assert sum(n for (r, f, _), n in got.items() if r == 0 and f == "outcome") == 16 and not any(r == 2 for r, *_ in got)
