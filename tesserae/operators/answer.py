@@ -33,3 +33,17 @@ def answers(plan: DataFrame, questions: DataFrame, generator: Generator | None =
 def checked(answered: DataFrame, n_sources: Column) -> DataFrame:
     done = answered.withColumn("c", answer_citations("answer", n_sources))
     return done.select("qid", "answer", F.col("c.cited").alias("cited"), F.col("c.invalid").alias("invalid"), n_sources.alias("n_sources"))
+
+
+def events(checked: DataFrame) -> DataFrame:
+    """(qid, seq, event, body): what a client is told of each answer, in order: the number of its sources,
+    its text, and at the end which of them it cites and which numbers are none, as JSON.
+
+    checked: as answers() gives it.
+    """
+    told = F.array(
+        F.struct(F.lit("sources").alias("event"), F.col("n_sources").cast("string").alias("body")),
+        F.struct(F.lit("text").alias("event"), F.coalesce("answer", F.lit("")).alias("body")),
+        F.struct(F.lit("end").alias("event"), F.to_json(F.struct("cited", "invalid")).alias("body")),
+    )
+    return checked.select("qid", F.posexplode(told).alias("seq", "e")).select("qid", "seq", "e.event", "e.body")

@@ -13,12 +13,12 @@ before. Compaction writes one segment in place of all.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources import versions
 from ..sources.stored import folder
 from .index import LEAST_AVERAGE, Index, idf, weight
 
@@ -47,33 +47,13 @@ class Segments:
 
     def __init__(self, spark: SparkSession, root: str, block: Callable[[Column], Column] = by_id, buckets: int = BUCKETS):
         self.spark, self.root, self.block = spark, root.rstrip("/"), block
-        self.number, held = self._version()
+        self.number, held = versions.latest(spark, self.root)
         self.buckets = held.get("buckets", buckets)
         self.live: list[dict] = held.get("segments", [])
 
-    # ------------------------------------------------------------ versions
-
-    def _file_system(self, path: str):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
-
-    def _version(self) -> tuple[int, dict]:
-        """The last version's number, and what the last one that can be read whole holds."""
-        fs, at = self._file_system(f"{self.root}/versions")
-        numbers = sorted((int(s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().isdigit()), reverse=True) if fs.exists(at) else []
-        for number in numbers:
-            try:
-                lines = self.spark.read.text(f"{self.root}/versions/{number}").collect()
-                return numbers[0], json.loads("".join(r["value"] for r in lines))
-            except ValueError:
-                continue
-        return (numbers or [-1])[0], {}
-
     def _commit(self, segments: list[dict]) -> None:
-        fs, at = self._file_system(f"{self.root}/versions/{self.number + 1}")
-        out = fs.create(at, False)  # a version that another writer wrote since ours was read is an error
-        out.write(bytearray(json.dumps({"buckets": self.buckets, "segments": segments}).encode()))
-        out.close()
+        """The next version after the one that was read; an error if another writer wrote that."""
+        versions.commit(self.spark, self.root, self.number + 1, {"buckets": self.buckets, "segments": segments})
         self.number, self.live = self.number + 1, segments
 
     # ------------------------------------------------------------ changes
@@ -121,11 +101,10 @@ class Segments:
 
     def vacuum(self) -> None:
         """Delete segments that the last version doesn't name."""
-        fs, at = self._file_system(self.root)
-        names = {s["name"] for s in self.live} | {"versions"}
-        for s in fs.listStatus(at):
-            if s.getPath().getName() not in names:
-                fs.delete(s.getPath(), True)
+        kept = {s["name"] for s in self.live} | {"versions"}
+        for name in versions.names(self.spark, self.root):
+            if name not in kept:
+                versions.delete(self.spark, f"{self.root}/{name}")
 
     # ------------------------------------------------------------ reading
 

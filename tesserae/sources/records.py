@@ -5,11 +5,12 @@ Missing values are empty strings, as every later step expects. id is the row's p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import extract as X
 from ..functions.text import capitalize, digits_only, offence_key, strip_extension, terms, text
 from ..operators.chunk import TARGETS, clean_lines, paragraphs_of_text, passages, topics
+from .stored import stored
 
 NOTICE = "struct<numero:string,tipo:string,infracao:string,dispositivo_legal_transgredido:string,lei:string>"
 DECISIONS = f"file_id string, nome_arquivo string, protocolo string, assunto string, instancia string, texto string, drive_view_url string, autos array<{NOTICE}>"
@@ -28,22 +29,27 @@ LEAST_UNIT = 30
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines file under a fixed schema, with a dense id in file order."""
+    """Rows of JSON-lines files under a fixed schema, with a dense id: by file name, then by line. Blank
+    lines are no rows; a line that is no record is a row of nulls."""
     return with_ordinal(spark.read.schema(T._parse_datatype_string(schema)).json(path))
 
 
 def with_ordinal(df: DataFrame, name: str = "id") -> DataFrame:
-    """A dense row number in scan order: each partition's offset, one number each, plus the place in it."""
-    df = df.withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
-    offsets, total = {}, 0
-    for r in sorted(df.groupBy(part.alias("p")).count().collect()):
-        offsets[r["p"]] = total
-        total += r["count"]
-    if not offsets:
-        return df.withColumn(name, F.lit(0).cast("long")).drop("__m")
-    table = F.create_map(*[F.lit(v).cast("long") for kv in offsets.items() for v in kv])
-    return df.withColumn(name, F.element_at(table, part) + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m")
+    """A dense row number over a scan of files: by file, then by place.
+
+    One scan is stored with each row's split (file and start) and its place there. Rows before a split
+    in its file, and before a file, are sums over a table of one row a split, which is joined by split;
+    a scan cut in other splits gives the same numbers.
+    """
+    rows = stored(df.select("*", F.input_file_name().alias("__file"), F.input_file_block_start().alias("__start"), F.monotonically_increasing_id().alias("__at")))
+    splits = rows.groupBy("__file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    in_file = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("__file").agg(F.sum("__n").alias("__all"))
+    # One row for each file: this window is small even where the rows aren't.
+    ahead = files.select("__file", F.coalesce(F.sum("__all").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    places = splits.withColumn("__before", F.coalesce(F.sum("__n").over(in_file), F.lit(0))).join(ahead, "__file").select("__file", "__start", "__first", (F.col("__before") + F.col("__ahead")).alias("__base"))
+    out = rows.join(places, ["__file", "__start"])
+    return out.select(*df.columns, (F.col("__base") + F.col("__at") - F.col("__first")).alias(name))
 
 
 def decisions(raw: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import versions
+
 #: What the process owns to its end, and what the innermost owner of this thread does.
 _PROCESS: list[tuple[SparkSession, str]] = []
 _OWNER: ContextVar[list[tuple[SparkSession, str]]] = ContextVar("tables", default=_PROCESS)
@@ -53,16 +55,11 @@ def owned():
         _OWNER.reset(token)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def _remove(tables: list[tuple[SparkSession, str]]) -> None:
     for spark, path in tables:
         context = spark.sparkContext
         if context._jsc is not None and not context._jsc.sc().isStopped():
-            delete(spark, path)
+            versions.delete(spark, path)
 
 
 atexit.register(_remove, _PROCESS)

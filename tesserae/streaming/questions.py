@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.stored import owned
+
 QUESTION = "qid long, question string, asked timestamp"
 
 
@@ -24,7 +26,8 @@ def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame]
     fresh = questions.withWatermark("asked", delay).dropDuplicatesWithinWatermark(["qid"])
 
     def write(batch: DataFrame, number: int) -> None:
-        answer(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with owned():  # what the batch stores on its way goes with it
+            answer(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
