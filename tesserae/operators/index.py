@@ -72,13 +72,13 @@ def signature(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256(json.dumps(facts).encode()).hexdigest()[:16]
 
 
-def load_or_build(spark: SparkSession, root: str, sources: list[str], items, **options) -> Index:
+def load_or_build(spark: SparkSession, root: str, sources: list[str], items, terms: Column | str = "terms", **options) -> Index:
     """The stored index for the sources' signature; one without a whole version is built again.
 
-    items: a function that gives the (id, terms) DataFrame, called only if it is needed. options: as
-    segments.Segments takes them.
+    items: a function that gives the (id, terms) DataFrame, called only if it is needed. terms, options: as
+    segments.Segments and its add() take them.
     """
     from .segments import Segments
 
     stored = Segments(spark, f"{root}/{signature(spark, sources)}", **options)
-    return (stored if stored.live else stored.add(items())).index()
+    return (stored if stored.live else stored.add(items(), terms=terms)).index()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import expand, terms
 from ..sources.stored import stored
 from .index import Index, weight
-from .segments import bucket
+from .segments import bucket, unpacked
 
 #: Rank offset and depth of the fusion, boost of items named by number.
 OFFSET, DEPTH, DIRECT = 60, 400, 1.0
@@ -86,7 +86,7 @@ def _opened(index: Index, asked: DataFrame, n_asked: int, buckets: list[int], ch
     Packed postings are dealt by block before they are unpacked, and all of an item's lie in its block:
     the sums need no shuffle of their own, and what is shuffled doesn't grow with the questions.
     """
-    held = index.segments.postings(buckets)
+    held = index.segments.postings(buckets).select("seg", "block", "term", "ids", "tfs", "lens")
     if n_asked <= BROADCAST_ROWS:
         held = held.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     if chosen is not None:
@@ -97,7 +97,7 @@ def _opened(index: Index, asked: DataFrame, n_asked: int, buckets: list[int], ch
         rows = rows.repartition("block")
     if chosen is not None:
         rows = rows.where(F.array_contains("wanted", F.col("qid")))
-    rows = index.segments.alive(rows.select("seg", "block", "qid", "idf", F.explode("entries").alias("e")).select("seg", "block", "qid", "idf", "e.id", "e.tf", "e.len"))
+    rows = index.segments.alive(unpacked(rows, "seg", "block", "qid", "idf"))
     one = weight(F.col("tf"), F.col("len"), F.lit(index.average), F.col("idf"))
     return rows.groupBy("block", "qid", "id").agg(F.round(F.sum(one), DIGITS).alias("score"))
 

@@ -16,6 +16,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources import versions
@@ -23,7 +25,7 @@ from ..sources.stored import folder
 from .index import LEAST_AVERAGE, Index, idf, weight
 
 #: Parts by term; ids in a block; documents for which a bucket is one file.
-BUCKETS, BLOCK, SPLIT_DOCS = 32, 128, 1_000_000
+BUCKETS, BLOCK, SPLIT_DOCS = 32, 512, 1_000_000
 #: Posted for every document, so that one pass also lists those without terms; no term is empty.
 EVERY = ""
 
@@ -42,6 +44,51 @@ def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _rows(block: int, term: pa.Array, ids: pa.Array, tf: np.ndarray, length: np.ndarray, starts: np.ndarray) -> pa.Table:
+    """Packed rows of postings that lie one after another; starts: where each term's begin."""
+    offsets = pa.array(np.r_[starts, len(tf)].astype(np.int32))
+    if pa.types.is_struct(ids.type):  # fields that can't be null here may be so in the packed rows' type
+        ids = pa.StructArray.from_arrays(ids.flatten(), names=[f.name for f in ids.type])
+    listed = lambda x: pa.ListArray.from_arrays(offsets, x)
+    return pa.table({
+        "block": pa.array(np.full(len(starts), block), pa.int64()), "term": term, "n": pa.array(np.diff(np.r_[starts, len(tf)]), pa.int64()),
+        "max_tf": pa.array(np.maximum.reduceat(tf, starts), pa.int32()), "min_len": pa.array(np.minimum.reduceat(length, starts), pa.int32()),
+        "ids": listed(ids), "tfs": listed(pa.array(tf, pa.int32())), "lens": listed(pa.array(length, pa.int32())),
+    })
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """Packed rows of one block of documents (block, id, terms)."""
+    if pa.types.is_integer(rows.schema.field("id").type):
+        rows = rows.sort_by("id")  # neighbours' files compress better; other ids stay as they come
+    ids, lists, n = rows.column("id").combine_chunks(), rows.column("terms").combine_chunks(), rows.num_rows
+    length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    # EVERY comes first, once for each document.
+    code = np.r_[np.zeros(n, np.int64), words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1]
+    key, tf = np.unique(code * n + np.r_[np.arange(n), np.repeat(np.arange(n), length)], return_counts=True)
+    code, doc = key // n, key % n
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    names = pa.concat_arrays([pa.array([EVERY], words.dictionary.type), words.dictionary])
+    return _rows(rows.column("block")[0].as_py(), names.take(pa.array(code[starts])), ids.take(pa.array(doc)), tf, length[doc], starts)
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """Packed rows of one block of postings (block, term, id, len, tf)."""
+    words = rows.column("term").combine_chunks().dictionary_encode()
+    order = np.argsort(words.indices.to_numpy(zero_copy_only=False), kind="stable")
+    rows, code = rows.take(pa.array(order)), words.indices.to_numpy(zero_copy_only=False)[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    number = lambda c: rows.column(c).to_numpy().astype(np.int64)
+    return _rows(rows.column("block")[0].as_py(), words.dictionary.take(pa.array(code[starts])), rows.column("id").combine_chunks(), number("tf"), number("len"), starts)
+
+
+def unpacked(rows: DataFrame, *columns: str) -> DataFrame:
+    """(columns, id, tf, len): a row for each id of packed postings."""
+    zipped = F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("e")
+    return rows.select(*columns, zipped).select(*columns, F.col("e.ids").alias("id"), F.col("e.tfs").alias("tf"), F.col("e.lens").alias("len"))
+
+
 class Segments:
     """An index under root, which executors share. Ids are of any type that block can deal."""
 
@@ -58,30 +105,33 @@ class Segments:
 
     # ------------------------------------------------------------ changes
 
-    def add(self, items: DataFrame, id_col: str = "id", terms_col: str = "terms") -> Segments:
-        """A segment for items (id, terms array), whose ids the index doesn't hold or has removed.
+    def add(self, items: DataFrame, id_col: str = "id", terms: Column | str = "terms") -> Segments:
+        """A segment for items (id, terms array), whose ids the index doesn't hold or has removed. terms may be
+        an expression of other columns: then these are shuffled, as texts are smaller than their terms.
 
-        Documents without terms, or with null ones, count. Rows are dealt by block once, as whole term arrays; counting and
-        packing need no further shuffle, and a term of all documents is spread over its blocks' files.
+        Documents without terms, or with null ones, count; ids are unique, so a block is bounded. Rows are
+        dealt by block once; a block is counted and packed by itself, and a term of
+        all documents is spread over its blocks' files.
         """
-        held = F.concat(F.array(F.lit(EVERY)), F.coalesce(F.col(terms_col), F.array().cast("array<string>")))
-        dealt = items.select(self.block(F.col(id_col)).alias("block"), F.col(id_col).alias("id"), held.alias("terms")).repartition("block")
-        counted = dealt.select("block", "id", (F.size("terms") - 1).alias("len"), F.explode("terms").alias("term")).groupBy("block", "term", "id", "len").agg(F.count("*").cast("int").alias("tf"))
-        name = f"add-{uuid.uuid4().hex}"
-        self._commit([*self.live, self._write(name, counted)])
+        words = F.coalesce(F.col(terms) if isinstance(terms, str) else terms, F.array().cast("array<string>"))
+        dealt = items.withColumn("block", self.block(F.col(id_col))).repartition("block").select("block", F.col(id_col).alias("id"), words.alias("terms"))
+        self._commit([*self.live, self._write(f"add-{uuid.uuid4().hex}", dealt, _counted)])
         return self
 
-    def _write(self, name: str, counted: DataFrame) -> dict:
-        """Writes a segment from (block, term, id, len, tf), dealt by block; gives its entry in a version."""
-        packed = counted.groupBy("block", "term").agg(
-            F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.array_sort(F.collect_list(F.struct("id", "tf", "len"))).alias("entries")
-        ).withColumn("bucket", bucket(F.col("term"), self.buckets))
+    def _write(self, name: str, rows: DataFrame, pack: Callable[[pa.Table], pa.Table]) -> dict:
+        """Writes a segment from rows of blocks, a block of bounded size at once; gives its entry in a version."""
+        own = rows.schema["id"].dataType.simpleString()
+        packed = rows.groupBy("block").applyInArrow(pack, f"block long, term string, n long, max_tf int, min_len int, ids array<{own}>, tfs array<int>, lens array<int>")
+        packed = packed.withColumn("bucket", bucket(F.col("term"), self.buckets))
         split = F.floor(F.col("block") * BLOCK / SPLIT_DOCS)
         packed.repartition("bucket", split).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.root}/{name}/postings")
         held = self.spark.read.schema(packed.schema).parquet(f"{self.root}/{name}/postings")
         held.where(F.col("term") != EVERY).groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket").sortWithinPartitions("term").write.parquet(f"{self.root}/{name}/terms")
         listed = held.where((F.col("term") == EVERY) & (F.col("bucket") == bucket(F.lit(EVERY), self.buckets)))
-        return {"name": name, **_totals(listed.select(F.inline("entries")))}
+        totals = _totals(unpacked(listed))
+        # What the segment was shuffled through takes several times its size, until the driver collects its garbage.
+        self.spark.sparkContext._jvm.System.gc()
+        return {"name": name, **totals}
 
     def remove(self, ids: DataFrame, id_col: str = "id") -> Segments:
         """A segment of ids that are gone: what they take from frequencies and totals. Unknown ids take nothing."""
@@ -96,7 +146,7 @@ class Segments:
 
     def compact(self) -> Segments:
         """One segment in place of all. The old ones stay for their readers until vacuum()."""
-        self._commit([self._write(f"add-{uuid.uuid4().hex}", self._entries().select("block", "term", "id", "len", "tf").repartition("block"))])
+        self._commit([self._write(f"add-{uuid.uuid4().hex}", self._entries().select("block", "term", "id", "len", "tf"), _merged)])
         return self
 
     def vacuum(self) -> None:
@@ -113,12 +163,12 @@ class Segments:
         return sum(s["n_docs"] for s in self.live), sum(s["total"] for s in self.live)
 
     def postings(self, buckets: list[int] | None = None) -> DataFrame:
-        """(seg, bucket, term, block, n, max_tf, min_len, entries) of all segments, or of some buckets."""
+        """(seg, bucket, term, block, n, max_tf, min_len, ids, tfs, lens) of all segments, or of some buckets."""
         parts = [
             self.spark.read.parquet(f"{self.root}/{s['name']}/postings").withColumn("seg", F.lit(i))
             for i, s in enumerate(self.live) if not s.get("gone") and s["n_docs"]
         ]
-        out = parts[0] if parts else self.spark.createDataFrame([], "block long, term string, n long, max_tf int, min_len int, entries array<struct<id:long,tf:int,len:int>>, bucket int, seg int")
+        out = parts[0] if parts else self.spark.createDataFrame([], "block long, term string, n long, max_tf int, min_len int, ids array<long>, tfs array<int>, lens array<int>, bucket int, seg int")
         for p in parts[1:]:
             out = out.unionByName(p)
         return out if buckets is None else out.where(F.col("bucket").isin(buckets))
@@ -140,8 +190,7 @@ class Segments:
         return rows.join(gone, (rows["id"] == gone["gone_id"]) & (rows["seg"] < gone["until"]), "left_anti")
 
     def _entries(self, buckets: list[int] | None = None) -> DataFrame:
-        rows = self.postings(buckets).select("seg", "bucket", "block", "term", F.explode("entries").alias("e"))
-        return self.alive(rows.select("seg", "bucket", "block", "term", "e.id", "e.tf", "e.len"))
+        return self.alive(unpacked(self.postings(buckets), "seg", "bucket", "block", "term"))
 
     def documents(self) -> DataFrame:
         """(id, len) of the documents in the index."""
@@ -170,6 +219,6 @@ def _totals(documents: DataFrame) -> dict[str, int]:
     return documents.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.col("len").cast("long")), F.lit(0)).alias("total")).first().asDict()
 
 
-def build_stored(items: DataFrame, root: str | None = None, **options) -> Index:
+def build_stored(items: DataFrame, root: str | None = None, terms: Column | str = "terms", **options) -> Index:
     """items (id, terms) as a new stored index of one segment; without a root, in a folder of the present owner."""
-    return Segments(items.sparkSession, root or folder(items.sparkSession, "index"), **options).add(items).index()
+    return Segments(items.sparkSession, root or folder(items.sparkSession, "index"), **options).add(items, terms=terms).index()

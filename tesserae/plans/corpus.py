@@ -34,17 +34,17 @@ def _root(spark: SparkSession) -> str:
 
 def index(spark: SparkSession, sf_dir: str) -> I.Index:
     """The documents' stored index, built when a query of this process first asks for it."""
-    items = lambda: spread(documents(spark, sf_dir).select("id", "text")).select("id", terms("text").alias("terms"))
-    return I.load_or_build(spark, f"{_root(spark)}/documents", [f"{sf_dir}/documents.parquet"], items)
+    items = lambda: documents(spark, sf_dir).select("id", "text")
+    return I.load_or_build(spark, f"{_root(spark)}/documents", [f"{sf_dir}/documents.parquet"], items, terms("text"))
 
 
 def line_index(spark: SparkSession, sf_dir: str) -> I.Index:
     """The stored index of documents' lines (id, pos): lines stand for passages, so that SQL can cut them too."""
     def items():
-        lines = spread(documents(spark, sf_dir)).select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        return lines.select(F.struct("id", "pos").alias("id"), terms("line").alias("terms"))
+        lines = documents(spark, sf_dir).select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        return lines.select(F.struct("id", "pos").alias("id"), "line")
 
-    return I.load_or_build(spark, f"{_root(spark)}/lines", [f"{sf_dir}/documents.parquet"], items, block=by_owner)
+    return I.load_or_build(spark, f"{_root(spark)}/lines", [f"{sf_dir}/documents.parquet"], items, terms("line"), block=by_owner)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

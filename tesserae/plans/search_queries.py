@@ -167,12 +167,12 @@ def _changed_index(spark, sf_dir):
     """The documents indexed in steps: those of even ids and a stale form of some others, from which
     then all even ids of one lang and the stale ones are removed, then what is missing is added. The
     state read from all segments, and after compaction."""
-    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     even, stale = F.col("id") % 2 == 0, F.col("id") % 10 == 1
     ix = Segments(spark, folder(spark, "changes"))
-    ix.add(docs.where(even | stale).select("id", F.when(stale, F.array(F.lit("stale"), F.lit("x1"))).otherwise(terms("text")).alias("terms")))
+    ix.add(docs.where(even | stale), terms=F.when(stale, F.array(F.lit("stale"), F.lit("x1"))).otherwise(terms("text")))
     ix.remove(docs.where(stale | (even & (F.col("lang") == "en"))))
-    ix.add(docs.where(~even | (F.col("lang") == "en")).select("id", terms("text").alias("terms")))
+    ix.add(docs.where(~even | (F.col("lang") == "en")), terms=terms("text"))
     merged = ix.index()
     compacted = ix.compact().index()
     out = [_weights(x.postings, x.terms).withColumn("state", F.lit(n)) for x, n in ((merged, "merged"), (compacted, "compacted"))]
