@@ -23,6 +23,8 @@ WINDOW = 2048
 END = (1).to_bytes(4, "little")
 #: Pieces in a bin, on average, at most.
 BIN_PIECES = 50_000
+#: Equal pieces that are numbered at once.
+COPIES = 10_000
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
@@ -117,18 +119,21 @@ def _pack(n_bins: int, size: int):
 def pack(docs: DataFrame, path: str, pattern: str, size: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Ids come from the tokenizers file at path (its place on every executor); special tokens' strings
-    in a text are ordinary text; each document ends with id 1. Null texts count as empty: one piece
-    of one id. Repeated rows are packed as often as they occur, in any bin; pieces of one length go by
-    id and start; other columns, of clashing names too, are ignored; an empty table gives an empty
-    table. Long texts are encoded whole.
+    Ids come from the tokenizers file at path (its place on every executor), those of its added tokens
+    too where their strings stand in a text; each document ends with id 1. Null texts count as empty: one
+    piece of one id. Repeated rows are packed as often as they occur, dealt to bins by their number; pieces
+    of one length go by id and start; other columns, of clashing names too, are ignored; an empty table
+    gives an empty table. Long texts are encoded whole. Equal tables give equal rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     pieces = saved(texts.mapInArrow(_pieces(path, pattern, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     n_bins = pieces.count() // BIN_PIECES + 1
-    # Repeated rows have one hash; the written file and place in it tell them apart, and never change.
-    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", place), F.lit(n_bins)).cast("int"))
+    # Equal pieces are counted and numbered, so that they spread over the bins the same way each time.
+    of = [F.col(c) for c in PIECE.names]
+    counted = pieces.groupBy(*of).agg(F.count("*").alias("copies"))
+    many = counted.select(*of, "copies", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("copies") - 1).cast("long"), F.lit(COPIES).cast("long"))).alias("from"))
+    copies = many.select(*of, F.explode(F.sequence("from", F.least(F.col("from") + COPIES, F.col("copies")) - 1)).alias("copy"))
+    dealt = copies.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(n_bins)).cast("int"))
     return dealt.groupBy("bin").applyInArrow(_pack(n_bins, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

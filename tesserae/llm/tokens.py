@@ -74,8 +74,11 @@ class _Memory(dict):
 class Encoder:
     """Ids of whole texts under a tokenizers model and a pattern; as packed little-endian uint32."""
 
-    def __init__(self, model, pattern: str):
+    def __init__(self, model, pattern: str, added: dict[str, int] | None = None):
         self.model = model
+        #: Strings that are one id each, wherever they stand; texts are cut at them first.
+        self.added = {s: array("I", [i]).tobytes() for s, i in (added or {}).items()}
+        self.cut = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.added, key=len, reverse=True))) if added else None
         self.match = regex.compile(pattern).findall
         self.letters = {_LETTERS, _MARKS} <= set(pattern.split("|"))
         self.pieces = _Memory(self._ids)
@@ -107,6 +110,11 @@ class Encoder:
         return self.model.tokenize(to_chars(piece.encode()))
 
     def encode(self, text: str) -> bytes:
+        if self.cut is None or not any(s in text for s in self.added):
+            return self._plain(text)
+        return b"".join(self.added.get(part) or self._plain(part) for part in self.cut.split(text) if part)
+
+    def _plain(self, text: str) -> bytes:
         try:
             return self._joined(text.split(" "))
         except _Wide:
@@ -121,10 +129,15 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def json_encoder(path: str, pattern: str) -> Encoder:
-    """For a tokenizers file whose pre-tokenizer is byte level with the given pattern."""
+    """For a tokenizers file whose pre-tokenizer is byte level with the given pattern; its added tokens'
+    strings are their ids, as in the library."""
     from tokenizers import Tokenizer
 
-    return Encoder(Tokenizer.from_file(path).model, pattern)
+    library = Tokenizer.from_file(path)
+    added = library.get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+        raise ValueError("added tokens that depend on what stands beside them")
+    return Encoder(library.model, pattern, {t.content: i for i, t in added.items()})
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
