@@ -5,7 +5,8 @@ member, and the line separator is an empty gzip member, which every reader skips
 whole files (the writer bounds records per file) and checks each member and record: gzip CRC,
 lengths, block and payload digests. After a failed check the reader searches for the next gzip
 magic or version line from which a record passes, goes on there, and logs the bytes between as a
-quarantined gap.
+quarantined gap. Inside a member of several records it searches the inflated bytes in the same way,
+those before a failure too.
 """
 
 from __future__ import annotations
@@ -38,7 +39,14 @@ FIELDS = (
 
 
 class Broken(ValueError):
-    """A check that failed; its text is the reason that is logged."""
+    """A check that failed; its text is the reason that is logged. inner: what a member gave before it;
+    found, gaps: the records in that, and what lies between them."""
+
+    def __init__(self, reason: str, inner: bytes = b""):
+        super().__init__(reason)
+        self.inner = inner
+        self.found: list[tuple] = []
+        self.gaps: list[tuple[int, int, str]] = []
 
 
 def base32_sha1(data: bytes) -> str:
@@ -86,7 +94,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     Null payloads count as empty; empty payloads are payloads like others; rows that repeat the
     largest id are all responses; a null id revisits, or is a response if none of its payload has an
-    id; an empty table writes no record.
+    id; an empty table writes no record. Payloads of any length are one record; other columns are ignored.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
@@ -106,18 +114,30 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """The member at a place and where it ends."""
-    z, out, step = zlib.decompressobj(31), [], 1 << 14
+    begin, z, out, step = at, zlib.decompressobj(31), [], 1 << 14
     while not z.eof:
         if at >= len(data):
-            raise Broken("truncated member")
+            raise Broken("truncated member", b"".join(out))
         try:
             out.append(z.decompress(data[at : at + step]))
         except zlib.error as e:
-            raise Broken(f"bad member: {e}") from None
+            raise Broken(f"bad member: {e}", _before_failure(data, begin)) from None
         at += step
     return b"".join(out), min(at, len(data)) - len(z.unused_data)
 
 
+def _before_failure(data: bytes, at: int) -> bytes:
+    """What a bad member gives up to about the bytes that fail, fed in small steps."""
+    z, out = zlib.decompressobj(31), []
+    try:
+        while at < len(data) and not z.eof:
+            out.append(z.decompress(data[at : at + 64]))
+            at += 64
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at a place, all checks passed."""
     if not data.startswith(LINE, at):
@@ -164,30 +184,59 @@ def fields(headers: dict[str, str], block: bytes) -> tuple:
     return strip(headers.get("warc-record-id")), kind, headers.get("warc-target-uri"), size, digest, strip(headers.get("warc-refers-to")), payload
 
 
-def _one(data: bytes, at: int) -> tuple[list[tuple], int]:
-    """Records of the member, or the record, at a place, and where it ends."""
-    if data.startswith(MAGIC, at):
-        inner, end = _inflate(data, at)
-        found, pos = [], 0
-        while pos < len(inner):
-            headers, block, pos = parse_record(inner, pos)
+def _records(inner: bytes) -> tuple[list[tuple], list[tuple[int, int, str]]]:
+    """Records in inflated bytes, and the gaps between them: after a failed check the search goes on to
+    the next version line from which a record passes."""
+    found, gaps, at = [], [], 0
+    while at < len(inner):
+        try:
+            headers, block, end = parse_record(inner, at)
             found.append(fields(headers, block))
-        return found, end
+            at = end
+        except Broken as e:
+            begin, reason = at, str(e)
+            while (at := inner.find(LINE, at + 1)) >= 0:
+                try:
+                    fields(*parse_record(inner, at)[:2])
+                    break
+                except Broken:
+                    continue
+            at = len(inner) if at < 0 else at
+            gaps.append((begin, at, reason))
+    return found, gaps
+
+
+def _one(data: bytes, at: int) -> tuple[list[tuple], list[tuple[int, int, str]], int]:
+    """Records of the member, or the record, at a place, gaps in the member, and where it ends."""
+    if data.startswith(MAGIC, at):
+        try:
+            inner, end = _inflate(data, at)
+        except Broken as e:
+            e.found, e.gaps = _records(e.inner)
+            raise
+        found, gaps = _records(inner)
+        if gaps and not found:
+            raise Broken(gaps[0][2])
+        return found, gaps, end
     headers, block, end = parse_record(data, at)
-    return [fields(headers, block)], end
+    return [fields(headers, block)], [], end
 
 
 def salvage(data: bytes):
     """(start, stop, reason, fields or None): records with no reason, gaps with one, in file order.
 
-    Every byte lies in a record's member, in an empty member, or in exactly one gap.
+    Every byte lies in a record's member, in an empty member, or in a gap. A damaged member gives its
+    good records, and a gap for each part that is lost; such a gap names the inflated bytes, and where
+    the member doesn't end well it reaches to the next place that passes.
     """
     at, size = 0, len(data)
     while at < size:
+        begin = at
         try:
-            found, end = _one(data, at)
+            found, gaps, at = _one(data, at)
+            lost = None
         except Broken as e:
-            begin, reason, at = at, str(e), at + 1
+            found, gaps, lost, at = e.found, e.gaps if e.found else [], str(e), at + 1
             while at < size:
                 tries = [p for p in (data.find(MAGIC, at), data.find(LINE, at)) if p >= 0]
                 if not tries:
@@ -197,13 +246,16 @@ def salvage(data: bytes):
                 try:
                     _one(data, at)
                     break
-                except Broken:
+                except Broken as other:
+                    if other.found:
+                        break
                     at += 1
-            yield begin, at, reason, None
-            continue
         for f in found:
-            yield at, end, None, f
-        at = end
+            yield begin, at, None, f
+        for a, b, reason in gaps:
+            yield begin, at, f"{reason}, inflated bytes {a} to {b}", None
+        if lost:
+            yield begin, at, lost, None
 
 
 def _salvaged(with_payload: bool):
@@ -228,7 +280,10 @@ _TYPES = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.s
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records (reason null) and quarantined gaps (reason set) of every file under path; see FIELDS.
 
-    Compressed and plain records may be mixed. Without payloads the column is null.
+    Compressed and plain records may be mixed, members may hold any number of records. Without payloads
+    the column is null. Empty files give no row; repeated records are rows of their own; a record without
+    an id, a URI or a payload has nulls for them; payloads of any length are read whole. A file has to
+    fit a task.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_salvaged(with_payload), FIELDS)
@@ -236,7 +291,10 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages to an archive in the shared folder and reads it back: page_id, payload_bytes,
-    payload_digest, record_type, refers_to for each record."""
+    payload_digest, record_type, refers_to for each record.
+
+    Odd rows are written as write_warc() says; other columns are ignored; no pages give no row.
+    """
     spark = pages.sparkSession
     path = f"{scratch_root(spark)}/tesserae-{uuid.uuid4().hex}/warc"
     write_warc(pages, path)

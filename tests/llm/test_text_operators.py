@@ -1,6 +1,7 @@
 """Host rules, tokenisation, packing, WARC, fingerprints and chat against plain restatements."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -180,6 +181,45 @@ def test_salvage_recovers_what_follows_the_damage(compressed, damage):
         assert a >= sum(map(len, whole[:k])) - len(warc.EMPTY_MEMBER) and b <= sum(map(len, whole[: k + 1]))
 
 
+def _five():
+    """Five records that don't compress, so that damage to their member hits few of them."""
+    payloads = [os.urandom(3000).hex().encode() for _ in range(5)]
+    return [warc.record(warc.page_urn(i), f"http://h/{i}", p, warc.base32_sha1(p), None) for i, p in enumerate(payloads)]
+
+
+@pytest.mark.parametrize("bad", [None, 0, 2, 4])
+def test_salvage_inside_a_member(bad):
+    records = _five()
+    if bad is not None:
+        records[bad] = records[bad].replace(b"Content-Length", b"Content-Lenght", 1)
+    found = list(warc.salvage(warc.member(b"".join(records)) + warc.member(_five()[0])))
+    assert [f[0] for *_, reason, f in found if reason is None] == [warc.page_urn(i) for i in range(5) if i != bad] + [warc.page_urn(0)]
+    gaps = [reason for _, _, reason, f in found if reason]
+    before = sum(map(len, records[:bad or 0]))
+    assert gaps == ([] if bad is None else [f"no content length, inflated bytes {before} to {before + len(records[bad])}"])
+
+
+@pytest.mark.parametrize("damage", ["cut", "noise"])
+def test_salvage_of_a_member_that_ends_badly(damage):
+    records = _five()
+    whole = warc.member(b"".join(records))
+    part = whole[: len(whole) * 3 // 4]
+    data = part if damage == "cut" else part + bytes(400) + whole[len(part) + 400 :]
+    last = warc.member(_five()[1])
+    found = list(warc.salvage(data + last))
+    ids = [f[0] for *_, reason, f in found if reason is None]
+    assert ids[:3] == [warc.page_urn(i) for i in range(3)] and ids[-1] == warc.page_urn(1) and len(ids) in (4, 5)
+    gaps = [(a, b) for a, b, reason, _ in found if reason]
+    assert gaps and all(g == (0, len(data)) for g in gaps)
+
+
+def test_archive_of_long_payloads_and_clashing_columns(spark):
+    data = [(1, None, "x" * 3_000_000, 7, "s", "r"), (2, "http://a b", None, 8, None, None), (3, "u", "", 9, "t", "q"), (5, "u", "x" * 3_000_000, 1, "", "")]
+    out = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(data, "page_id long, url string, html string, payload_bytes long, sha1 string, lead string")).collect()}
+    assert out[1]["payload_bytes"] == 3_000_000 == out[5]["payload_bytes"] and (out[1]["record_type"], out[1]["refers_to"]) == ("revisit", 5)
+    assert (out[2]["record_type"], out[2]["refers_to"], out[3]["record_type"]) == ("revisit", 3, "response")
+
+
 def test_salvage_reads_files_through_spark(spark, tmp_path):
     parts = _archive(True)
     (tmp_path / "a.warc.gz").write_bytes(parts[0] + b"garbage" + parts[1])
