@@ -95,6 +95,8 @@ class VectorLists:
     def scanned(self, queries: DataFrame, probes: int) -> DataFrame:
         """(qid, scanned): rows of bytes that each query meets."""
         sizes, centroids = self.sizes, self.centroids
+        if not sizes.any():
+            return _queries(queries).select("qid", F.lit(0).cast("long").alias("scanned"))
 
         def run(batches):
             for batch in batches:
@@ -108,6 +110,8 @@ class VectorLists:
     def nearest(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """(qid, id, score, rank): the k rows of the largest dot product in each query's lists, ties to
         the smaller id. queries: (qid, vec), the stated query set; null vectors find nothing."""
+        if not self.sizes.any():
+            return self.rows.select(F.col("row").alias("qid"), "id", F.col("scale").alias("score"), F.col("list").alias("rank"))
         asked = stored(_queries(queries))
         cell = F.pmod(F.col("row"), F.element_at(F.lit(self.cells().tolist()), F.col("list") + 1)).cast("int")
         left, right = self.probed(asked, probes), self.rows.select("row", "id", "list", cell.alias("cell"), "scale", "error", "codes")
