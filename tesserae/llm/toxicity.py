@@ -6,9 +6,9 @@ classifier over the set of a document's words and their beginnings minimises
     p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)),
 
 p the class prior; where the difference turns negative the step goes against it, so the classifier
-can't fit unlabelled positives as negatives. It is trained in numpy on bounded samples. The unlabelled
-sample is drawn from all text that may be learned from, known positives included with their label
-hidden, so that its class prior is that of the training labels.
+can't fit unlabelled positives as negatives. It is trained in numpy on a bounded sample of labelled
+rows: toxic ones as positives, and rows of both labels, with their label hidden, as the unlabelled
+text, whose class prior is then that of the labels.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import id_and_bytes, saved, steps, word_hashes
 from .labelled import held_out, share, training_labels
 
-#: Documents that training uses at most, chosen by a hash of their ids.
+#: Labelled rows that training uses at most, chosen by a hash of their ids.
 MAX_POSITIVE, MAX_UNLABELLED = 12_000, 24_000
 #: log2 of the hashed features; a feature is used if it is so many times as frequent among positives
 #: as among the unlabelled, by so many standard deviations.
@@ -119,7 +119,7 @@ def _score(used: np.ndarray, weights: np.ndarray, bias: float):
 def toxicity_scores(docs: DataFrame, labels: DataFrame, n_folds: int = 5, held: int = 0) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted.
 
-    Trained on the toxic rows outside the held-out fold and on a hash sample of all text outside it.
+    Trained on labelled rows outside the held-out fold, each id once.
     Null and empty texts are scored by the bias alone; long texts are read whole; repeated rows get
     equal scores; without a toxic row, or if no document has its id, every score is the prior; other
     columns are never read; an empty table gives an empty table.
@@ -130,12 +130,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, n_folds: int = 5, held:
     prior = min(max(n_pos / n, PRIOR[0]), PRIOR[1]) if n_pos else PRIOR[2]
     used, weights, bias = np.zeros(0, np.uint32), np.zeros(0), float(np.log(prior / (1 - prior)))
     if n_pos:
-        n_docs = docs.count()
-        # Bounded: MAX_POSITIVE rows, give or take the hash.
-        positives = known.where("label = 1").where(share("doc_id", min(1.0, MAX_POSITIVE / n_pos))).select("doc_id", "label")
-        hidden = share("doc_id", min(1.0, MAX_UNLABELLED / max(n_docs, 1))) & ~held_out("doc_id", n_folds, held)
-        roles = F.array_compact(F.array(F.col("label"), F.when(F.coalesce(hidden, F.lit(False)), 0)))
-        sample = texts.join(F.broadcast(positives), "doc_id", "left").select(F.explode(roles).alias("label"), "text")
+        # Bounded, give or take the hash; an id whose rows repeat gives one text.
+        positive = (F.col("label") == 1) & share("doc_id", min(1.0, MAX_POSITIVE / n_pos))
+        roles = F.array_compact(F.array(F.when(positive, 1), F.when(share("doc_id", min(1.0, MAX_UNLABELLED / n)), 0)))
+        chosen = known.select("doc_id", roles.alias("roles")).where(F.size("roles") > 0)
+        sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "roles").agg(F.min("text").alias("text")).select(F.explode("roles").alias("label"), "text")
         # One task holds the bounded sample's features.
         model = sample.mapInArrow(_hashed, "label int, words binary").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_train(prior), "used binary, weights binary, bias double").first()
         if model is not None:
