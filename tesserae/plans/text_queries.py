@@ -96,9 +96,9 @@ def _topics(spark, sf_dir):
 
 
 def _struck(spark, sf_dir):
-    """Every document less its characters 10 to 20 and 15 to 40, read from 5 to 200."""
+    """Every document from its fifth character on, less characters 10 to 20 and 15 to 40."""
     iv = F.array(F.array(F.lit(15), F.lit(40)), F.array(F.lit(10), F.lit(20)))
-    return spread(documents(spark, sf_dir)).select("id", without_struck("text", iv, F.lit(5), F.lit(200)).alias("body"))
+    return spread(documents(spark, sf_dir)).select("id", without_struck("text", iv, F.lit(5), F.length("text")).alias("body"))
 
 
 _J = "array_to_string({}, ' ')"
@@ -171,5 +171,5 @@ WHERE NOT regexp_full_match(line, '\d{1,2}\s*/\s*\d{1,2}') AND (line = '' OR len
 WITH p AS (SELECT doc_id AS id, regexp_split_to_array(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), '\n\s*\n') AS s FROM documents),
 l AS (SELECT id, generate_subscripts(s, 1) AS i, trim(regexp_replace(unnest(s), '\s+', ' ', 'g')) AS paragraph FROM p)
 SELECT id, (row_number() OVER (PARTITION BY id ORDER BY i) - 1)::INT AS pos, paragraph FROM l WHERE paragraph <> ''""",
-    "struck_text": r"SELECT doc_id AS id, regexp_replace(regexp_replace(substr(text, 6, 5) || substr(text, 41, 160), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM documents",
+    "struck_text": r"SELECT doc_id AS id, regexp_replace(regexp_replace(substr(text, 6, 5) || substr(text, 41), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM documents",
 }
