@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import quality, toxicity
-from tesserae.llm.labelled import held_out, training_labels
+from tesserae.llm.labelled import training_labels
 
 
 def accuracy(scores, labels, column):
