@@ -12,6 +12,7 @@ from ..functions.text import terms
 from ..sources.records import articles, offence_names, reference_ids
 from ..sources.stored import stored
 from . import evidence as E, index as I, panorama as P, search, vector
+from .segments import build_stored, by_owner
 
 
 @dataclass

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources import versions
-from ..sources.stored import folder
+from ..sources.stored import folder, reclaim
 from .index import LEAST_AVERAGE, Index, idf, weight
 
 #: Parts by term; ids in a block; documents for which a bucket is one file.
@@ -114,8 +114,11 @@ class Segments:
         all documents is spread over its blocks' files.
         """
         words = F.coalesce(F.col(terms) if isinstance(terms, str) else terms, F.array().cast("array<string>"))
-        dealt = items.withColumn("block", self.block(F.col(id_col))).repartition("block").select("block", F.col(id_col).alias("id"), words.alias("terms"))
-        self._commit([*self.live, self._write(f"add-{uuid.uuid4().hex}", dealt, _counted)])
+        block = self.block(F.col(id_col))
+        self._commit([*self.live, self._write(
+            f"add-{uuid.uuid4().hex}", items.withColumn("block", block).repartition("block").select("block", F.col(id_col).alias("id"), words.alias("terms")), _counted
+        )])
+        reclaim(self.spark)
         return self
 
     def _write(self, name: str, rows: DataFrame, pack: Callable[[pa.Table], pa.Table]) -> dict:
@@ -128,10 +131,7 @@ class Segments:
         held = self.spark.read.schema(packed.schema).parquet(f"{self.root}/{name}/postings")
         held.where(F.col("term") != EVERY).groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket").sortWithinPartitions("term").write.parquet(f"{self.root}/{name}/terms")
         listed = held.where((F.col("term") == EVERY) & (F.col("bucket") == bucket(F.lit(EVERY), self.buckets)))
-        totals = _totals(unpacked(listed))
-        # What the segment was shuffled through takes several times its size, until the driver collects its garbage.
-        self.spark.sparkContext._jvm.System.gc()
-        return {"name": name, **totals}
+        return {"name": name, **_totals(unpacked(listed))}
 
     def remove(self, ids: DataFrame, id_col: str = "id") -> Segments:
         """A segment of ids that are gone: what they take from frequencies and totals. Unknown ids take nothing."""
@@ -147,6 +147,7 @@ class Segments:
     def compact(self) -> Segments:
         """One segment in place of all. The old ones stay for their readers until vacuum()."""
         self._commit([self._write(f"add-{uuid.uuid4().hex}", self._entries().select("block", "term", "id", "len", "tf"), _merged)])
+        reclaim(self.spark)
         return self
 
     def vacuum(self) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -44,6 +45,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let go of the shuffle files of what nothing holds any more: they stay until the driver's garbage is
+    collected, and after a large write they are several times what was written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def owned():
     """Tables stored inside, by this thread, go at the end: what reads them must have been written by then."""
