@@ -151,22 +151,37 @@ def prepare(corpus: Corpus, questions: DataFrame, limits: E.Limits = E.Limits())
         decisions = decisions.unionByName(t)
 
     before = []
-    if side := corpus.side("guidance"):
-        gate = (F.col("coverage") >= E.COVERAGE) & (F.col("strength") >= E.STRENGTH)
-        before.append(_side_tier(corpus, "guidance", search.coverage(side[1], plain, side[0], 1).where(gate), q, side[0], limits.guidance_chars, "entendimento", F.col("rank")))
+    if corpus.guidance is not None:
+        before.append(guidance_tier(corpus, asked, limits))
     if side := corpus.side("statutes"):
         notices = corpus.decisions.select("id", F.explode("notices.dispositivo_legal_transgredido").alias("provision"))
         cited = P.cited_articles(asked, hits.where(F.col("place") < limits.decisions), notices, articles(corpus.statutes), column="query")
         best = search.coverage(side[1], plain, side[0], 1).select("qid", F.col("id").alias("at"), "coverage", "strength")
         chosen = E.statute_tier(cited, best, limits.statutes).withColumnRenamed("at", "id")
         before.append(_side_tier(corpus, "statute", chosen, q, side[0], limits.statute_chars, "legislação", F.col("ord")))
-    if side := corpus.side("opinions"):
-        hit = search.coverage(side[1], plain, side[0], 1).join(asked.select("qid", X.asks_opinion("query").alias("asked")), "qid").where(E.opinion_gate(F.col("coverage"), F.col("asked")))
-        hit = hit.join(side[0].select("id", "file_id", "passages"), "id")
-        before.append(_tier(hit, "opinion", F.col("rank"), F.array(F.left(F.get("passages", F.lit(0)), F.lit(limits.opinion_chars))), "parecer", F.col("file_id")))
+    if corpus.opinions is not None:
+        before.append(opinion_tier(corpus, asked, limits))
     return E.numbered(*before, decisions, panoramas(corpus, asked, hits, direct, filters))
 
 
+def guidance_tier(corpus: Corpus, asked: DataFrame, limits: E.Limits = E.Limits()) -> DataFrame:
+    """The topic that covers most of a question (qid, query), if it passes the gates."""
+    items, index = corpus.side("guidance")
+    found = search.coverage(index, search.query_terms(asked, "query", expanded=False), items, 1)
+    good = found.where((F.col("coverage") >= E.COVERAGE) & (F.col("strength") >= E.STRENGTH))
+    return _side_tier(corpus, "guidance", good, search.query_terms(asked, "query"), items, limits.guidance_chars, "entendimento", F.col("rank"))
+
+
+def opinion_tier(corpus: Corpus, asked: DataFrame, limits: E.Limits = E.Limits()) -> DataFrame:
+    """The opinion's passage that covers most of a question (qid, query), by the gate for questions that ask
+    for an opinion or the one for others."""
+    items, index = corpus.side("opinions")
+    hit = search.coverage(index, search.query_terms(asked, "query", expanded=False), items, 1)
+    hit = hit.join(asked.select("qid", X.asks_opinion("query").alias("asked")), "qid").where(E.opinion_gate(F.col("coverage"), F.col("asked")))
+    hit = hit.join(items.select("id", "file_id", "passages"), "id")
+    return _tier(hit, "opinion", F.col("rank"), F.array(F.left(F.get("passages", F.lit(0)), F.lit(limits.opinion_chars))), "parecer", F.col("file_id"))
+
+
 def panoramas(corpus: Corpus, asked: DataFrame, hits: DataFrame, direct: DataFrame, filters: DataFrame) -> DataFrame:
     """The counts of the offences that a question is about; of everything, for a quantitative question
     with neither an offence nor a named decision. Empty counts are left out."""

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import extract as X
 from ..functions.text import normalize
-from ..operators import evaluate, evidence as E, search
+from ..operators import assistant, evaluate, evidence as E, search
 from ..operators.segments import build_stored
 from ..sources import records as R
 from ..sources.stored import folder, stored
 from . import sql as S
 from .corpus import table
 from .evidence_queries import ORACLES as EVIDENCE, _history
-from .source_queries import N_ARTICLES, N_OFFENCES, _DECISIONS, _UNIT, ORACLES as SOURCES, _corpus, _raw_decisions, _raw_guidance, _raw_opinions, _raw_statutes
+from .source_queries import _asked, N_ARTICLES, N_OFFENCES, _DECISIONS, _UNIT, ORACLES as SOURCES, _corpus, _raw_decisions, _raw_guidance, _raw_opinions, _raw_statutes
 from .text_queries import ORACLES as TEXTS, _SQL_DECISION
 
 #: Files that the records are written to.
@@ -112,7 +113,17 @@ def _theses(spark, sf_dir):
     return evaluate.on_thesis_at(hits, theses, docs).select("n", F.round("precision", 6).alias("precision"))
 
 
+def _tier_of(tier):
+    def run(spark, sf_dir):
+        asked = _asked(spark, sf_dir).withColumn("query", F.col("question"))
+        return tier(_corpus(spark, sf_dir), asked).select("qid", "ord", "ref", F.array_join("passages", "|").alias("passages"), "reason")
+
+    return run
+
+
 QUERIES = {
+    "plan_guidance": _tier_of(assistant.guidance_tier),
+    "plan_opinions": _tier_of(assistant.opinion_tier),
     "source_decision_files": _scanned_decisions,
     "indexed_decisions": lambda s, d: _indexed(R.decisions(_raw_decisions(s, d)), "id"),
     "indexed_opinions": _indexed_opinions,
@@ -130,7 +141,28 @@ _DECISION_TERMS = S.terms(f"concat_ws(' ', 'Recurso em ' || lang, ' comércio ir
 _TOPIC = "'1.' || (n_nationkey + 1) || ' - Comércio irregular na quadra Q' || (100 + n_nationkey)"
 _OPERATIVE = f"op AS ({TEXTS['operative_part']})"
 _HEADERS = f"hd AS ({SOURCES['decision_headers']})"
+_ASKED = """asked AS (SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN 'quantas decisões: ' WHEN 1 THEN 'qual o resultado do protocolo 31.' || lpad(item_id::VARCHAR, 8, '0') || '/2024-31? '
+  WHEN 2 THEN 'há parecer sobre ' ELSE '' END || text AS question FROM benchmark UNION ALL SELECT 1000000 + n_nationkey, 'quantos casos de comércio irregular na quadra Q' || (100 + n_nationkey) || ' na 2ª instância?' FROM nation)"""
+
+
+def _covered(items: str) -> str:
+    """CTEs to the best item of each question by BM25, with its coverage and strength. items: (id, t: terms
+    indexed, present: terms of what is shown)."""
+    return f"""items AS ({items}), {S.index('SELECT id, t FROM items')}, {_ASKED},
+q AS (SELECT qid, unnest(list_distinct({S.terms('question')})) AS term FROM asked), {S.BM25},
+best AS (SELECT * FROM {S.ranked('bm', 1)}), known AS (SELECT qid, term, idf FROM q JOIN terms USING (term)), total AS (SELECT qid, sum(idf) AS total FROM known GROUP BY qid),
+pres AS (SELECT DISTINCT id, unnest(present) AS term FROM items), met AS (SELECT best.qid, sum(idf) AS met FROM best JOIN known ON known.qid = best.qid JOIN pres ON pres.id = best.id AND pres.term = known.term GROUP BY best.qid),
+cov AS (SELECT best.qid, id, coalesce(met, 0) / total AS coverage, score / total AS strength FROM best JOIN total USING (qid) LEFT JOIN met USING (qid))"""
+
+
+_BODY = "'O comércio irregular na quadra Q' || (100 + n_nationkey) || ' depende de licença prévia.'"
+_PASSAGE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 ORACLES = {
+    "plan_guidance": f"""WITH {_covered(f"SELECT n_nationkey AS id, {S.terms(f"concat_ws(' ', {_TOPIC}, 'Apresentação › ' || {_TOPIC}, {_BODY})")} AS t, {S.terms(f"concat_ws(' ', 'Apresentação › ' || {_TOPIC}, '', {_BODY})")} AS present, {_BODY} AS body FROM nation")}
+SELECT qid, 1::BIGINT AS ord, 'guidance#' || id AS ref, body AS passages, 'entendimento' AS reason FROM cov JOIN items USING (id) WHERE coverage >= 0.5 AND strength >= 0.85""",
+    "plan_opinions": f"""WITH {_covered(f"SELECT item_id AS id, {S.terms("concat_ws(' ', 'Parecer ' || item_id || '.docx', text)")} AS t, {S.terms(f"concat_ws(' ', 'Parecer ' || item_id || ' (obras, parte 1/1)', '', {_PASSAGE})")} AS present, {_PASSAGE} AS body FROM benchmark WHERE item_id % 10 <> 0")}
+SELECT qid, 1::BIGINT AS ord, 'p' || id AS ref, left(body, 1100) AS passages, 'parecer' AS reason FROM cov JOIN items USING (id) JOIN asked USING (qid)
+WHERE coverage >= 0.7 OR (coverage >= 0.4 AND regexp_matches(question, {S.quoted(X.OPINION_ASKED.replace('(?iu)', '(?i)'))}))""",
     "source_decision_files": f"WITH {_DECISIONS} SELECT * REPLACE (row_number() OVER (ORDER BY id) - 1 AS id), left(date, 4) AS year FROM dec",
     "indexed_decisions": f"SELECT doc_id AS id, {_DIGEST} FROM (SELECT doc_id, {_DECISION_TERMS} AS t FROM ({_SQL_DECISION}) JOIN documents USING (doc_id))",
     "indexed_opinions": f"SELECT id, {_DIGEST} FROM (SELECT item_id AS id, {S.terms("concat_ws(' ', 'Parecer ' || item_id || '.docx', text)")} AS t FROM benchmark WHERE item_id % 10 <> 0)",
