@@ -66,7 +66,7 @@ def _rows(path: str, pattern: str):
         encoder, table = rank_encoder(path, pattern)
         lengths = _lengths(path, pattern)
         names = [str(i) for i in range(len(table))]
-        for keys, texts in steps(batches):
+        for keys, texts in steps(batches, owner="tokens"):
             out = []
             for key, text in zip(keys, texts):
                 ids = np.frombuffer(encoder.encode(text), "<u4")
@@ -89,7 +89,7 @@ ROUND_TRIP = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_
 def _encoded(path: str, pattern: str):
     def run(batches):
         encoder, table = rank_encoder(path, pattern)
-        for keys, texts in steps(batches):
+        for keys, texts in steps(batches, owner="tokens"):
             both = [encode_with_offsets(encoder, t) for t in texts]
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.int64()), pa.array([b[0] for b in both], pa.list_(pa.int32())),
@@ -102,7 +102,7 @@ def _encoded(path: str, pattern: str):
 def _decoded(path: str, pattern: str):
     def run(batches):
         table = rank_encoder(path, pattern)[1]
-        for keys, ids in steps(batches):
+        for keys, ids in steps(batches, owner="tokens"):
             data = [list(decode(table, x or [])) for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([b"".join(x) for x in data], pa.binary()), pa.array(map(decode_text, data), pa.string())], names=["doc_id", "data", "text"])
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 import numpy as np
@@ -36,17 +37,30 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def steps(batches, rows: int = STEP_ROWS):
-    """Lists of the columns of a few rows at a time, so long texts don't pile up as objects."""
+def steps(batches, rows: int = STEP_ROWS, owner: str = ""):
+    """Lists of the columns of a few rows at a time, so long texts don't pile up as objects. owner: whose
+    memory the worker keeps at the end, as its next task may be of the same kind."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield [c.to_pylist() for c in part.columns]
-    give_back()
+    give_back(owner)
 
 
-def give_back() -> None:
-    """Return freed memory to the system, so that a worker that waits for its next task holds little."""
+#: What workers remember between tasks, by owner: a function that forgets it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    _REMEMBERED[owner] = forget
+
+
+def give_back(owner: str = "") -> None:
+    """Forget what other operators' tasks remembered in this worker, and return freed memory to the
+    system, so that a worker that waits for its next task holds little."""
+    for name, forget in _REMEMBERED.items():
+        if name != owner:
+            forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -87,7 +87,7 @@ def best_fit_decreasing(lengths: list[int], size: int = WINDOW) -> list[tuple[in
 def _pieces(path: str, pattern: str, size: int):
     def run(batches):
         encoder = json_encoder(path, pattern)
-        for keys, texts in steps(batches):
+        for keys, texts in steps(batches, owner="tokens"):
             rows: list[tuple] = []
             for key, text in zip(keys, texts):
                 ids = encoder.encode(text) + END
@@ -97,7 +97,7 @@ def _pieces(path: str, pattern: str, size: int):
                     rows.append((key, at, n, zlib.crc32(memoryview(ids)[4 * at : 4 * (at + n)]), total))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, schema=PIECE)
         encoder.rest()
-        give_back()
+        give_back("tokens")
 
     return run
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import give_back, steps, table
+from .common import give_back, remembers, steps, table
 
 #: A document with more tokens than this is over the limit.
 LIMIT = 4096
@@ -343,15 +343,18 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+remembers("counts", counter.cache_clear)
+
+
 def _count(path: str, limit: int):
     def run(batches):
         count = counter(path)
-        for keys, texts in steps(batches):
+        for keys, texts in steps(batches, owner="counts"):
             n = count.counts(texts)
             sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], schema=COUNTS)
         count.older = {}
-        give_back()
+        give_back("counts")
 
     return run
 

@@ -16,6 +16,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from .common import remembers
+
 #: Pieces in a generation of a worker's memory; forgetting changes no result.
 BOUND = 350_000
 _SPACE, _CUT = regex.compile(r"\s"), regex.compile(r" (?=\S)")
@@ -166,3 +168,11 @@ def rank_encoder(path: str, pattern: str) -> tuple[Encoder, list[str]]:
     for t, r in ranks.items():
         table[r] = name[t]
     return Encoder(model, pattern), table
+
+
+def _forget() -> None:
+    json_encoder.cache_clear()
+    rank_encoder.cache_clear()
+
+
+remembers("tokens", _forget)
