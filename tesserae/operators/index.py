@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass
-
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
