@@ -14,6 +14,8 @@ ALWAYS, LAST_YEARS, UNKNOWN = 4, 6, OUTCOME_ORDER[-1]
 COVERAGE, SHARE, SHARE_WEIGHT, COUNT_WEIGHT, MARGIN, GROUPS, ROOT_WORDS = 0.3, 0.5, 0.5, 0.05, 0.1, 2, 6
 #: Added to a hit's place, from 0, in its weight.
 PLACE = 3
+#: Keys of requests up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def cube(items: DataFrame) -> DataFrame:
@@ -34,12 +36,14 @@ def selected(cells: DataFrame, requests: DataFrame) -> DataFrame:
     """(rid, outcome, instance, year, n): the cells that each request counts, each once.
 
     cells: as cube() gives them. requests: (rid, keys, instance, year); null keys: all items, null
-    filters: none. A filter that nothing passes selects nothing.
+    filters: none. A filter that nothing passes selects nothing. Requests are
+    broadcast if few, cells never: they lie small in a file, so that Spark would take many for few.
     """
     r = requests.select("rid", F.col("keys").alias("r_keys"), F.col("instance").alias("r_instance"), F.col("year").alias("r_year"))
     passes = (F.col("r_instance").isNull() | F.col("instance").startswith(F.col("r_instance"))) & (F.col("r_year").isNull() | (F.col("year") == F.col("r_year")))
     pick = ["rid", "outcome", "instance", "year", "n"]
     keyed = r.where("r_keys is not null").withColumn("key", F.explode(F.array_distinct("r_keys")))
+    keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_ROWS else keyed.hint("merge")
     by_key = cells.withColumn("key", F.explode("keys")).join(keyed, "key").where(passes)
     by_key = by_key.groupBy("rid", "cell").agg(*(F.first(c).alias(c) for c in pick[1:]))
     # Requests for everything meet the facets alone: as many rows as there are kinds of decision.

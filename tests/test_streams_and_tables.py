@@ -143,6 +143,15 @@ def test_cube_counts_items_once(spark):
     assert got == {(*k, n) for k, n in want.items()}
 
 
+def test_cells_are_not_broadcast(spark, tmp_path):
+    """A small file of cells can hold many: the requests for keys are broadcast to them, not they to these."""
+    P.cube(spark.range(200).selectExpr("array(cast(id as string)) keys", "'' outcome", "'1' instance", "'2020' year")).write.parquet(f"{tmp_path}/cells")
+    asked = spark.createDataFrame([(1, ["7", "9"], None, None)], "rid long, keys array<string>, instance string, year string")
+    chosen = P.selected(spark.read.parquet(f"{tmp_path}/cells"), asked)
+    joins = [x for x in chosen._jdf.queryExecution().executedPlan().toString().split("\n") if "Join [key#" in x]
+    assert len(joins) == 1 and "BuildRight" in joins[0] and chosen.count() == 2
+
+
 def test_narratives_and_theses(spark):
     keys = spark.createDataFrame([(1, ["k"]), (2, ["k", "j"]), (3, ["j"]), (4, [])], "id long, keys array<string>")
     hits = spark.createDataFrame([(10, 1, 1), (10, 2, 2), (10, 3, 3), (12, 1, 1)], "qid long, id long, rank int")
