@@ -34,7 +34,7 @@ def _lines(spark, sf_dir):
 
 def _chosen(spark, sf_dir):
     """Each question's best three documents; the reasoning starts at the second line of even ids."""
-    hits = search.rank(search.bm25(index(spark, sf_dir), search.query_terms(questions(spark, sf_dir))), 3)
+    hits = search.rank(search.best(index(spark, sf_dir), search.query_terms(questions(spark, sf_dir)), 3), 3)
     sizes = _lines(spark, sf_dir).select("id", F.size("passages").alias("n_passages"))
     return hits.join(sizes, "id").select("qid", "id", "rank", "n_passages", F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("reasoning"))
 
@@ -77,7 +77,7 @@ def _plan_rows(spark, sf_dir):
         "qid", F.lit(1).alias("ord"), F.lit("opinion").alias("kind"), F.col("id").cast("string").alias("ref"),
         F.array(F.left(F.get("passages", F.lit(0)), F.lit(E.Limits.opinion_chars))).alias("passages"), F.lit("parecer").alias("reason"),
     )
-    hits = search.rank(search.bm25(ix, search.query_terms(q)), E.Limits.decisions).join(cut, "id")
+    hits = search.rank(search.best(ix, search.query_terms(q), E.Limits.decisions), E.Limits.decisions).join(cut, "id")
     chosen = hits.select("qid", "id", "rank", F.size("passages").alias("n_passages"), F.lit(-1).alias("reasoning"))
     wide = search.query_terms(q)
     best = E.best_passages(chosen, pieces, wide, ix.terms, E.Limits.decision_passages)

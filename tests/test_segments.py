@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import index as I, search, segments as G
+from tesserae.operators import block_scores as BS, index as I, search, segments as G
 from tesserae.sources.stored import _OWNER, owned, stored
 
 WORDS = [f"w{i}" for i in range(40)]
@@ -124,3 +125,52 @@ def test_tables_go_with_their_owner(spark):
         path = Path(_OWNER.get()[0][1].removeprefix("file://"))
         assert path.exists() and kept.count() == 3
     assert not path.exists()
+
+
+def test_best_of_blocks_is_the_best_of_all(spark, tmp_path, small, monkeypatch):
+    """Blocks cut by batches and steps: the k best of a task, ties by id, of items and of items' passages."""
+    rnd = random.Random(4)
+    lots = some(rnd, range(90))
+    passages = [((i, p), t or []) for i in range(30) for p, (_, t) in enumerate(some(rnd, range(4)))]
+    asked = spark.createDataFrame([(q, t) for q in range(7) for t in WORDS[q : 3 * q + 2]] + [(99, "absent")], "qid int, term string")
+    ix = G.build_stored(items_of(spark, lots), f"file://{tmp_path}/ix")
+    lines = G.build_stored(spark.createDataFrame(passages, "id struct<id:long,pos:int>, terms array<string>"), f"file://{tmp_path}/lines", block=G.by_owner)
+    monkeypatch.setattr(search, "LISTED_ROWS", 3 if tmp_path.name.endswith("1") else 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    for k in (1, 3, 200):
+        for i, owner in ((ix, None), (lines, "id")):
+            every = search.bm25(i, asked)
+            every = search.best_passage(every, F.col("id.id")) if owner else every
+            found = search.best(i, asked, k, owner)
+            assert found.schema["qid"].dataType.simpleString() == "int" and "Window" not in found._jdf.queryExecution().executedPlan().toString()
+            want = {tuple(r) for r in search.rank(every.where("score > 0"), k).select("qid", "id", "score", "rank").collect()}
+            assert want and {tuple(r) for r in search.rank(found, k).select("qid", "id", "score", "rank").collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("owner", [None, "id"])
+def test_steps_and_cuts_of_block_scores(owner, monkeypatch):
+    """Small steps and cuts between them find what one step finds."""
+    rnd = random.Random(5)
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("pos", pa.int32())])) if owner else pa.list_(pa.int64())
+    rows = []
+    for block in range(5):
+        for _ in range(12):
+            ids = sorted(rnd.sample([(block * 10 + i, p) for i in range(10) for p in range(2)], rnd.randrange(1, 12))) if owner else sorted(rnd.sample(range(block * 10, block * 10 + 10), rnd.randrange(1, 9)))
+            rows.append({"block": block, "ids": [{"id": i, "pos": p} for i, p in ids] if owner else ids, "tfs": [rnd.randrange(1, 5) for _ in ids], "lens": [rnd.randrange(5, 9) for _ in ids], "idf": rnd.random(), "qids": rnd.sample(range(9), rnd.randrange(1, 9))})
+    table = pa.Table.from_pylist(rows, pa.schema([("block", pa.int64()), ("ids", kind), ("tfs", pa.list_(pa.int32())), ("lens", pa.list_(pa.int32())), ("idf", pa.float64()), ("qids", pa.list_(pa.int64()))]))
+    run = lambda k, n: [tuple(r.values()) for b in BS.best_of_blocks(k, 6.5, owner, 9)(table.to_batches(n)) for r in b.to_pylist()]
+    scores = {}
+    for r in rows:
+        for i, tf, size in zip(r["ids"], r["tfs"], r["lens"]):
+            for q in r["qids"]:
+                at = (q, i["id"], i["pos"]) if owner else (q, i, 0)
+                scores[at] = scores.get(at, 0) + tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / 6.5)) * r["idf"]
+    best = {}
+    for (q, i, _), x in scores.items():
+        best[q, i] = max(best.get((q, i), 0), round(x, 9))
+    want = [(q, i, x) for q in range(9) for x, i in [(-y, j) for y, j in sorted((-x, i) for (p, i), x in best.items() if p == q)[:4]]]
+    assert run(4, 1000) == want
+    monkeypatch.setattr(BS, "STEP_SCORES", 15)
+    monkeypatch.setattr(BS, "GATHERED", 20)
+    assert run(4, 5) == want
