@@ -174,3 +174,19 @@ def test_steps_and_cuts_of_block_scores(owner, monkeypatch):
     monkeypatch.setattr(BS, "STEP_SCORES", 15)
     monkeypatch.setattr(BS, "GATHERED", 20)
     assert run(4, 5) == want
+
+
+def test_tasks_of_a_build_follow_the_blocks(spark, tmp_path, monkeypatch):
+    """What a task counts or sorts is bounded: tasks are not merged to Spark's advisory size, however few bytes they have."""
+    monkeypatch.setattr(G, "BLOCK", 4)
+    monkeypatch.setattr(G, "SPLIT_DOCS", 16)
+    monkeypatch.setattr(G, "TASK_BLOCKS", 2, raising=False)
+    items = spark.createDataFrame([(i, [f"t{i % 7}", f"u{i}"]) for i in range(160)], "id long, terms array<string>")
+    ix = G.Segments(spark, str(tmp_path / "ix"), buckets=2).add(items)
+    folders = {}
+    for f in (tmp_path / "ix").glob("add-*/postings/bucket=*/*.parquet"):
+        folders.setdefault(f.parent.name, []).append(f)
+    # 40 blocks, 4 to a file: before, one task wrote a bucket whole.
+    assert len(folders) == 2 and sum(map(len, folders.values())) > 6
+    rows = ix.postings().groupBy("term").agg(F.sum("n").alias("n")).collect()
+    assert {r["term"]: r["n"] for r in rows} == {G.EVERY: 160, **{f"t{k}": len(range(k, 160, 7)) for k in range(7)}, **{f"u{i}": 1 for i in range(160)}}
