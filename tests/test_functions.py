@@ -100,3 +100,16 @@ def test_citations(value):
 
 def test_question_citations_come_in_order(value):
     assert cited(value(C.question_citations, "o art. 13 da Lei 8.616/03 e a LEI 9725/09 - ART. 31")) == [("lei", 8616, "13"), ("lei", 9725, "31")]
+
+
+def test_citations_compute_each_step_once(spark):
+    """The expansion of ranges stood three times in the plan, and the text's split in every law's steps."""
+    from tesserae.functions.citations import citations
+
+    df = spark.createDataFrame([("LEI 9.725/09 - ARTS. 1 A 3 E 90-B § 2º, DECRETO 13.842/10, ART. 4",), (None,), ("LEI 1.234",)], "t string")
+    out = df.select(citations("t").alias("c"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ATE)") == 1 and plan.count("MUNICIPAL") == 1
+    assert [[(x["kind"], x["num"], x["art"]) for x in r["c"] or []] for r in out.collect()] == [
+        [("decreto", 13842, "4"), ("lei", 9725, "1"), ("lei", 9725, "2"), ("lei", 9725, "3"), ("lei", 9725, "90-B")], [], [],
+    ]
