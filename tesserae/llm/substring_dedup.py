@@ -38,8 +38,10 @@ RUNS = WINDOW - RUN + 1
 HOT_BLOCKS, HOT_TIMES = 4096, 4
 #: Bytes of text to a block, and blocks to a slot, by which slots are numbered; log2 of slots at most.
 BLOCK_TEXT, SLOT_BLOCKS, MAX_SLOT_BITS = 65, 64, 22
-#: Words that a worker gathers before it sends blocks to the buckets.
-FLUSH_WORDS = 1_500_000
+#: Words that a worker gathers before it sends blocks to the buckets, and windows that it hashes at once.
+FLUSH_WORDS, STEP_WINDOWS = 1_500_000, 1 << 17
+#: Bytes of text to a bucket: what a worker holds of one is some twenty times its words' hashes.
+BUCKET_TEXT = 4 << 20
 #: Bytes of text to a shard of the spans.
 SHARD_BYTES = 256 << 20
 #: Spans up to this many rows and bytes are broadcast to the texts.
@@ -85,6 +87,17 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
 
 
+def _contents(window: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of each block's windows in order; at: where a block begins in window."""
+    out = np.empty(len(at), np.uint64)
+    cuts = np.unique(np.searchsorted(at, np.arange(0, at[-1] + 1, STEP_WINDOWS)))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+        place = _ranges(np.zeros(b - a, np.int64), length[a:b]).astype(np.uint64)
+        part = window[at[a] : at[a] + len(place)]
+        out[a:b] = np.add.reduceat(mix(part + place * _U(0x9E3779B97F4A7C15)), at[a:b] - at[a])
+    return mix(out + length.astype(np.uint64))
+
+
 # ---------------------------------------------------------------- slots of anchors
 
 
@@ -162,12 +175,12 @@ def _send(batches, n_buckets: int, n_shards: int, shared):
         key, anchor, start, length = (np.concatenate(x) for x in (keys, anchors, starts, lengths))
         owner = np.repeat(np.arange(len(ids)), owners)
         window = np.concatenate(wins)
+        wins.clear()
         at = np.cumsum(length) - length
-        place = _ranges(np.zeros(len(length), np.int64), length).astype(np.uint64)
-        content = mix(np.add.reduceat(mix(window + place * _U(0x9E3779B97F4A7C15)), at) + length.astype(np.uint64)) ^ anchor
+        content = _contents(window, at, length) ^ anchor
         _, first, back, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
         known_ids, known_hashes = np.array(ids, np.int64), np.array(hashes, np.int64)
-        for x in (ids, hashes, owners, starts, lengths, anchors, keys, wins):
+        for x in (ids, hashes, owners, starts, lengths, anchors, keys):
             x.clear()
         # Equal blocks are factors of the first of them, and that of the last.
         again = np.flatnonzero(times[back] > 1)
@@ -193,7 +206,7 @@ def _send(batches, n_buckets: int, n_shards: int, shared):
                 rows.clear()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)], schema=SENT)
-        del window, place, content, back, key, anchor
+        del window, content, back, key, anchor
         give_back()
 
     for doc, code, texts in steps(batches):
@@ -411,7 +424,7 @@ def duplicate_spans(rows: DataFrame) -> DataFrame:
     rows of equal key are copies, found as such; an empty table gives an empty table. Long texts are
     parsed whole; a worker holds one of them at a time.
     """
-    n, size = buckets(rows), text_bytes(rows)
+    n, size = buckets(rows, BUCKET_TEXT), text_bytes(rows)
     n_shards = min(1 << 12, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1))
     shared = rows.sparkSession.sparkContext.broadcast(_hot_slots(rows, size))
     spans = saved(

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tesserae.llm import substring_dedup as sd
@@ -134,3 +135,28 @@ def test_clashing_column_names(spark):
     rows = [(1, long + " a", "s", 5, "r"), (2, "b " + long, "t", 6, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, key_id int, row string")
     assert sorted(tuple(r) for r in sd.strip_duplicates(docs).collect()) == [(1, "a", "s", 5, "r"), (2, "b", "t", 6, "q")]
+
+
+def test_a_bucket_stands_for_few_megabytes_of_text(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def factor(n, n_shards):
+        raise Stop(n)
+
+    monkeypatch.setattr(sd, "_factor", factor)
+    rows = spark.range(80).selectExpr("id as key_id", "id as key_hash", "cast(repeat('a b c d ', 65536) as binary) as text")
+    with pytest.raises(Stop) as stop:
+        sd.duplicate_spans(rows)
+    assert stop.value.args[0] >= 80 * (1 << 19) // (4 << 20)
+
+
+def test_contents_of_blocks_are_hashed_alike_in_small_steps(monkeypatch):
+    rng = np.random.default_rng(5)
+    length = rng.integers(1, 40, 300)
+    at = np.cumsum(length) - length
+    window = rng.integers(0, 1 << 62, length.sum()).astype(np.uint64)
+    whole = sd._contents(window, at, length)
+    for step in (1, 16, 1000):
+        monkeypatch.setattr(sd, "STEP_WINDOWS", step)
+        assert (sd._contents(window, at, length) == whole).all()
