@@ -190,3 +190,32 @@ def test_tasks_of_a_build_follow_the_blocks(spark, tmp_path, monkeypatch):
     assert len(folders) == 2 and sum(map(len, folders.values())) > 6
     rows = ix.postings().groupBy("term").agg(F.sum("n").alias("n")).collect()
     assert {r["term"]: r["n"] for r in rows} == {G.EVERY: 160, **{f"t{k}": len(range(k, 160, 7)) for k in range(7)}, **{f"u{i}": 1 for i in range(160)}}
+
+
+@pytest.mark.parametrize("listed", [1, 1000])
+def test_best_under_a_filter_is_the_best_of_what_passes(spark, tmp_path, monkeypatch, listed):
+    """Blocks are scored under each question's filter, so that scores of all items are neither shuffled nor ranked."""
+    monkeypatch.setattr(search, "LISTED_ROWS", listed)
+    monkeypatch.setattr(G, "BLOCK", 16)
+    rnd = random.Random(6)
+    lots = some(rnd, range(90))
+    passages = [((i, p), t or []) for i in range(60) for p, (_, t) in enumerate(some(rnd, range(3)))]
+    asked = spark.createDataFrame([(q, t) for q in range(7) for t in WORDS[q : 3 * q + 2]], "qid int, term string")
+    # Ids from 80 on are no items; one kind is null; a rule that nothing passes is dropped; question 6 has no filter row.
+    items = spark.createDataFrame([(i, None if i % 9 == 0 else f"{i % 2 + 1}a", str(2015 + i % 4)) for i in range(80)], "id long, instance string, year string")
+    filters = spark.createDataFrame([(0, None, None), (1, "1", None), (2, "2", "2016"), (3, "1", "1999"), (4, None, "2018"), (5, "1a", None)], "qid int, instance string, year string")
+    ix = G.build_stored(items_of(spark, lots), f"file://{tmp_path}/ix")
+    lines = G.build_stored(spark.createDataFrame(passages, "id struct<id:long,pos:int>, terms array<string>"), f"file://{tmp_path}/lines", block=G.by_owner)
+    for k in (1, 4, 200):
+        for i, owner in ((ix, None), (lines, "id")):
+            every = search.bm25(i, asked)
+            every = search.best_passage(every, F.col("id.id")) if owner else every
+            every = search.filtered(every, items, filters).where("score > 0")
+            found = search.best(i, asked, k, owner, only=(items, filters))
+            assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+            want = {tuple(r) for r in search.rank(every, k).select("qid", "id", "score", "rank").collect()}
+            assert want and {tuple(r) for r in search.rank(found, k).select("qid", "id", "score", "rank").collect()} == want
+    monkeypatch.setattr(search, "KINDS", 2)
+    found = search.best(ix, asked, 4, only=(items, filters))
+    want = {tuple(r) for r in search.rank(search.filtered(search.bm25(ix, asked), items, filters), 4).select("qid", "id", "score").collect()}
+    assert {tuple(r) for r in search.rank(found, 4).select("qid", "id", "score").collect()} == want
