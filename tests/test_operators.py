@@ -306,3 +306,13 @@ def test_question_stream(spark, tmp_path):
     q = Q.answer_stream(Q.read_questions(spark, str(tmp_path / "in")), lambda b: b.select("qid", F.upper("question").alias("answer")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert sorted(rows(spark.read.parquet(str(tmp_path / "out")).select("qid", "answer"))) == [(1, "X"), (2, "Y")]
+
+
+def test_topics_order_titles_not_texts(spark):
+    items = spark.createDataFrame([(i, ["abertura", "1 - Um", "texto", "1.1 - " + "Longo " * 40 + "- resto", "fim"]) for i in range(3)], "id long, paragraphs array<string>")
+    found = chunk.topics(items)
+    # Windows come before, over titles; before, all paragraphs went through them.
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[1:] for r in found.where("id = 2").orderBy("pos").collect()] == [
+        (0, "Apresentação", "abertura"), (1, "Apresentação › 1 - Um", "texto"), (2, "Apresentação › 1 - Um › 1.1 - " + ("Longo " * 40).strip(), "resto\n\nfim"),
+    ]
