@@ -219,3 +219,32 @@ def test_best_under_a_filter_is_the_best_of_what_passes(spark, tmp_path, monkeyp
     found = search.best(ix, asked, 4, only=(items, filters))
     want = {tuple(r) for r in search.rank(search.filtered(search.bm25(ix, asked), items, filters), 4).select("qid", "id", "score").collect()}
     assert {tuple(r) for r in search.rank(found, 4).select("qid", "id", "score").collect()} == want
+
+
+def test_questions_of_a_block_are_listed_once(spark, tmp_path, small, monkeypatch):
+    """What a task sorts grows with its postings, not with these times the questions that a block is opened for."""
+    rnd = random.Random(7)
+    ix = G.build_stored(items_of(spark, some(rnd, range(200))), f"file://{tmp_path}/ix")
+    asked = spark.createDataFrame([(q, t) for q in range(30) for t in WORDS[q % 7 : 3 * q % 40 + 3]], "qid long, term string")
+    weighed = search._weighed(ix, asked)
+    chosen = search.bm25(ix, asked).where("qid % 3 > 0 or id < 100").select("qid", F.floor(F.col("id") / 4).alias("block")).distinct()
+    best = search.best_of_blocks
+
+    def spied(*a):
+        def spy(batches):
+            for b in batches:
+                rows = b.to_pylist()
+                if any(r["wanted"] is not None and r["ids"] is not None for r in rows):
+                    raise ValueError("questions beside a posting")
+                yield from ()
+
+        return spy
+
+    monkeypatch.setattr(search, "best_of_blocks", spied)
+    assert search._best(ix, *weighed, 3, chosen=chosen).count() == 0
+    monkeypatch.setattr(search, "best_of_blocks", best)
+    for listed in (1, 1000):
+        monkeypatch.setattr(search, "LISTED_ROWS", listed)
+        every = search._opened(ix, *weighed, chosen).where("score > 0")
+        want = {tuple(r) for r in search.rank(every.select("qid", "id", "score"), 3).collect()}
+        assert want and {tuple(r) for r in search.rank(search._best(ix, *weighed, 3, chosen=chosen), 3).collect()} == want
