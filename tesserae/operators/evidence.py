@@ -38,12 +38,14 @@ def best_passages(chosen: DataFrame, passages: DataFrame, qterms: DataFrame, idf
 
     chosen: (qid, id, reasoning, n_passages); passages: (id, pos, passage). A passage scores the idf of
     the question's terms in it, raised from the reasoning on, or toward the end if that isn't known;
-    ties go to the later passage; none scores 0.
+    ties go to the later passage; none scores 0. Sums go by size, so that passages of the same terms tie
+    whatever the order in which joins deliver them.
     """
     rows = chosen.join(passages, "id")
+    in_order = F.aggregate(F.array_sort(F.collect_list("idf")), F.lit(0.0), lambda a, x: a + x)
     met = (
         rows.select("qid", "id", "pos", F.explode(F.array_distinct(terms("passage"))).alias("term"))
-        .join(qterms, ["qid", "term"]).join(idf.select("term", "idf"), "term").groupBy("qid", "id", "pos").agg(F.sum("idf").alias("idf"))
+        .join(qterms, ["qid", "term"]).join(idf.select("term", "idf"), "term").groupBy("qid", "id", "pos").agg(in_order.alias("idf"))
     )
     boost = F.when(F.col("reasoning") >= 0, F.when(F.col("pos") >= F.col("reasoning"), REASONING_BOOST).otherwise(1.0)).otherwise(1 + POSITION_BOOST * F.col("pos") / F.greatest("n_passages", F.lit(1)))
     scored = rows.join(met, ["qid", "id", "pos"]).withColumn("note", F.col("idf") * boost).where("note > 0")

@@ -218,6 +218,15 @@ def test_coverage_takes_one_item_per_file(spark, index):
     assert [r["id"] for r in got] == [2, 3] and abs(got[0]["coverage"] - 1) < 1e-9 and got[0]["strength"] > got[1]["strength"]
 
 
+def test_passages_of_the_same_terms_tie(spark):
+    """0.1 + 0.2 + 0.3 is more than 0.3 + 0.2 + 0.1 in doubles; of equal passages the later one is better."""
+    chosen = spark.createDataFrame([(0, 1, 0, 2)], "qid long, id long, reasoning int, n_passages int")
+    passages = spark.createDataFrame([(1, 0, "alfa beta gama"), (1, 1, "gama beta alfa")], "id long, pos int, passage string")
+    q = spark.createDataFrame([(0, t) for t in ("alfa", "beta", "gama")], "qid long, term string")
+    idf = spark.createDataFrame([("alfa", 0.1), ("beta", 0.2), ("gama", 0.3)], "term string, idf double")
+    assert [r["passages"] for r in E.best_passages(chosen, passages, q, idf, 1).collect()] == [["gama beta alfa"]]
+
+
 def test_direct_references_prefer_protocols(spark):
     ids = spark.createDataFrame([("protocol", "3100960807202531", 1), ("notice", "3100960807202531", 2), ("notice", "20250012345AN", 3), ("notice", "123456789012", 4)], "kind string, key string, id long")
     q = ask(spark, "auto 20250012345an e protocolo 31.00960807/2025-31 e 123456789012 e 20250012345AN")
