@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from tesserae.functions.text import terms
 from tesserae.operators import answer, chunk, evaluate, evidence as E, index as I, panorama as P, search, vector
+from tesserae.operators.segments import build_stored
 from tesserae.sources import binary, records as R
 from tesserae.streaming import questions as Q
 
@@ -227,6 +228,16 @@ def test_passages_of_the_same_terms_tie(spark):
     assert [r["passages"] for r in E.best_passages(chosen, passages, q, idf, 1).collect()] == [["gama beta alfa"]]
 
 
+def test_coverage_finds_files_behind_many_items_of_one(spark):
+    """Twenty items of one file are better than those of two others, over both forms of index."""
+    texts = [(i, "mesa alvara") for i in range(20)] + [(20, "mesa alvara outro"), (21, "mesa alvara outro mais longe"), (22, "sem nada aqui")]
+    held = spark.createDataFrame(texts, "id long, text string").select("id", terms("text").alias("terms"))
+    items = held.select("id", F.when(F.col("id") < 20, "f").when(F.col("id") == 21, "g").alias("file_id"), F.col("terms").alias("present"))
+    q = search.query_terms(ask(spark, "mesa alvara"), expanded=False)
+    found = [sorted(rows(search.coverage(ix, q, items, 3).select("rank", "id", "coverage"))) for ix in (I.build(held), build_stored(held))]
+    assert found[0] == found[1] == [(1, 0, 1.0), (2, 20, 1.0), (3, 21, 1.0)]
+
+
 def test_direct_references_prefer_protocols(spark):
     ids = spark.createDataFrame([("protocol", "3100960807202531", 1), ("notice", "3100960807202531", 2), ("notice", "20250012345AN", 3), ("notice", "123456789012", 4)], "kind string, key string, id long")
     q = ask(spark, "auto 20250012345an e protocolo 31.00960807/2025-31 e 123456789012 e 20250012345AN")
