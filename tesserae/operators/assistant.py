@@ -20,7 +20,8 @@ class Corpus:
     """Item rows as the sources give them; any but decisions may be missing.
 
     encoder: (terms, docs) of binary.read_encoder(). Items (kept) and indexes are written to the shared
-    folder once per object, as every tier reads them; give a stored index (index.load_or_build) as decision_index.
+    folder once per object, as every tier reads them; give a stored index (index.load_or_build) as decision_index,
+    those of the other collections by name as side_indexes.
     """
 
     decisions: DataFrame
@@ -29,12 +30,13 @@ class Corpus:
     opinions: DataFrame | None = None
     encoder: tuple[DataFrame, DataFrame] | None = None
     decision_index: I.Index | None = None
+    side_indexes: dict[str, I.Index] | None = None
 
     @cached_property
     def kept(self) -> Corpus:
         """The same corpus over stored items."""
         side = lambda x: None if x is None else stored(x)
-        return Corpus(stored(self.decisions), side(self.guidance), side(self.statutes), side(self.opinions), self.encoder, self.decision_index)
+        return Corpus(stored(self.decisions), side(self.guidance), side(self.statutes), side(self.opinions), self.encoder, self.decision_index, self.side_indexes)
 
     @cached_property
     def _sides(self) -> dict[str, tuple[DataFrame, I.Index]]:
@@ -73,7 +75,8 @@ class Corpus:
         if "subject" not in items.columns:
             items = items.withColumn("subject", F.lit(""))
         present = F.array_distinct(terms(F.concat_ws(" ", "title", "subject", F.array_join("passages", " "))))
-        self._sides[name] = stored(items.withColumn("present", present)), _kept(I.build(items.select("id", "terms")))
+        index = (self.side_indexes or {}).get(name) or _kept(I.build(items.select("id", "terms")))
+        self._sides[name] = stored(items.withColumn("present", present)), index
         return self._sides[name]
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import extract as X
 from ..functions.text import terms
-from ..operators import answer, chunk, evidence as E, search
+from ..operators import answer, assistant, chunk, evidence as E, search
+from ..sources import records as R
 from . import sql as S
 from .corpus import documents, index, questions, spread, table
+from .source_queries import _raw_decisions, _raw_statutes
 
 
 def _turns(spark, sf_dir):
@@ -55,37 +56,18 @@ def _budget(spark, sf_dir):
 
 
 def _plan_rows(spark, sf_dir):
-    """Guidance and statute by coverage search, decisions by BM25, over real passages."""
-    q = questions(spark, sf_dir)
-    ix = index(spark, sf_dir)
-    plain = search.query_terms(q, expanded=False)
-    docs = spread(documents(spark, sf_dir))
-    items = docs.select("id", F.concat(F.lit("d"), "id").alias("file_id"), F.array_distinct(terms("text")).alias("present"))
-    found = search.coverage(ix, plain, items, 1)
-    cut = docs.select("id", chunk.passages(chunk.clean_lines("text")).alias("passages"))
-    # Three passages of each long text are chosen by the question's terms, as for decisions.
-    sized = found.join(cut, "id").select("qid", "id", F.size("passages").alias("n_passages"), F.lit(-1).alias("reasoning"))
-    pieces = cut.select("id", F.posexplode("passages").alias("pos", "passage"))
-    three = E.best_passages(sized, pieces, plain, ix.terms, 3).withColumnRenamed("passages", "best")
-    asked = q.select("qid", X.asks_opinion("question").alias("asked"))
-    gate = (F.col("coverage") >= E.COVERAGE) & (F.col("strength") >= E.STRENGTH)
-    guidance = found.where(gate).join(cut, "id").join(three, ["qid", "id"], "left").select(
-        "qid", F.lit(1).alias("ord"), F.lit("guidance").alias("kind"), F.col("id").cast("string").alias("ref"),
-        E.whole_or_best(F.col("passages"), F.col("best"), E.Limits.guidance_chars).alias("passages"), F.lit("entendimento").alias("reason"),
-    )
-    opinion = found.join(asked, "qid").where(E.opinion_gate(F.col("coverage"), F.col("asked"))).join(cut, "id").select(
-        "qid", F.lit(1).alias("ord"), F.lit("opinion").alias("kind"), F.col("id").cast("string").alias("ref"),
-        F.array(F.left(F.get("passages", F.lit(0)), F.lit(E.Limits.opinion_chars))).alias("passages"), F.lit("parecer").alias("reason"),
+    """The engine's plan of the benchmark's passages as questions, all tiers: documents stand for guidance and
+    opinions, by coverage search of their stored index, and dressed as records for decisions; benchmark passages
+    for statutes."""
+    docs = spread(documents(spark, sf_dir)).select(
+        "id", F.concat(F.lit("d"), "id").alias("file_id"), F.lit("").alias("title"), F.lit("").alias("subject"),
+        chunk.passages(chunk.clean_lines("text")).alias("passages"), terms("text").alias("terms"),
     )
-    hits = search.rank(search.best(ix, search.query_terms(q), E.Limits.decisions), E.Limits.decisions).join(cut, "id")
-    chosen = hits.select("qid", "id", "rank", F.size("passages").alias("n_passages"), F.lit(-1).alias("reasoning"))
-    wide = search.query_terms(q)
-    best = E.best_passages(chosen, pieces, wide, ix.terms, E.Limits.decision_passages)
-    decisions = chosen.join(best, ["qid", "id"]).select(
-        "qid", F.col("rank").alias("ord"), F.lit("decision").alias("kind"), F.col("id").cast("string").alias("ref"),
-        E.budget(F.col("passages"), E.Limits.decision_chars, F.lit("")).alias("passages"), F.lit("").alias("reason"),
+    ix = index(spark, sf_dir)
+    corpus = assistant.Corpus(
+        R.decisions(_raw_decisions(spark, sf_dir)), docs, R.statutes(_raw_statutes(spark, sf_dir)), docs, side_indexes={"guidance": ix, "opinions": ix},
     )
-    return E.numbered(guidance, opinion, decisions)
+    return assistant.prepare(corpus, questions(spark, sf_dir))
 
 
 def _plan(spark, sf_dir):

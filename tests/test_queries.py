@@ -64,3 +64,9 @@ def test_whole_plan_against_counts(spark, duck):
         assert [r["ref"] for r in rows if r["kind"] == "guidance"] == [f"guidance#{n}"]
         first = next(r["passages"] for r in rows if r["kind"] == "panorama").splitlines()
         assert first[0].endswith(f"quadra q{100 + n}") and first[1] == f"Total de decisões no acervo: {total} (2ª instância: {total})"
+
+
+def test_plan_of_passages_has_statutes(spark):
+    """The benchmark's passages are laws too, so the statute tier of their plan isn't empty."""
+    plan = QUERIES["evidence_plan"](spark, SF_DIR).collect()
+    assert {"statute", "decision"} <= {r["kind"] for r in plan}
